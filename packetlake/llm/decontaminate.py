@@ -32,6 +32,8 @@ BITS = 31
 SPAN = WINDOW - GRAM  # words to look at on both sides of a gram
 #: Contexts of fifteen words each, so under some 60 MB.
 BROADCAST_ROWS = 200_000
+#: Beyond all hashes; from here on come the values that only mark a document.
+EXTRA, SALTS = 1 << 40, 1024
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,6 +56,10 @@ def grams(df: DataFrame, size: int, out: str) -> DataFrame:
     return df.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w))).withColumn(out, F.when(n >= size, F.transform(_upto(n - size), value)).otherwise(F.array().cast("array<bigint>")))
 
 
+# Explode is always given a null or the outer form: for a plain column Spark infers a filter on the
+# array's size and pushes it below, where the lambdas nest and are computed again for every word.
+
+
 def winnowed(df: DataFrame) -> DataFrame:
     """Adds ``__kept``: the smallest value of every REACH neighbouring ones, each once."""
     df = grams(df, GRAM, "__grams")
@@ -70,53 +76,51 @@ def _place(v: Column) -> Column:
     return v.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
-def _same(a: Column, i: Column, b: Column, j: Column) -> Column:
-    return F.coalesce(F.get(a, i) == F.get(b, j), F.lit(False))
-
-
-def _run(a: Column, i: Column, b: Column, j: Column, steps: range) -> Column:
-    """How many of ``steps`` agree before the first that doesn't."""
-    out = F.lit(len(steps))
-    for k in reversed(range(len(steps))):
-        out = F.when(~_same(a, i + steps[k], b, j + steps[k]), k).otherwise(out)
-    return out
+def _first_miss(same: Column, size: int) -> Column:
+    """How many leading entries of ``same`` (``size`` booleans) are true."""
+    at = F.array_position(same, False)
+    return F.when(at == 0, size).otherwise(at - 1).cast("int")
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     items = bench.select(F.col(item_col).cast("string").alias("__item"), word_array(F.col(item_text_col)).alias("__words")).where(F.size("__words") > 0)
-    long_ = winnowed(items.where(F.size("__words") >= WINDOW)).select("__item", "__words", F.explode("__kept").alias("__v"))
+    long_ = winnowed(items.where(F.size("__words") >= WINDOW)).select("__item", "__words", F.explode_outer("__kept").alias("__v"))
     # the gram's words and SPAN on both sides, null beyond the item
     around = F.transform(F.sequence(F.lit(-SPAN), F.lit(GRAM + SPAN - 1)), lambda d: F.get("__words", _place(F.col("__v")) + d))
     contexts = long_.select(_hash(F.col("__v")).alias("__h"), around.alias("__ctx"), "__item").groupBy("__h", "__ctx").agg(F.array_sort(F.collect_set("__item")).alias("__items"))
     short = items.where(F.size("__words") < WINDOW)
     n_contexts, lengths = contexts.count(), sorted(r[0] for r in short.select(F.size("__words")).distinct().collect())  # nine at most
 
+    # an entry that meets every document's own extra value, so that each has a row; salted for the shuffled way
+    extra = docs.sparkSession.range(SALTS).select((F.lit(EXTRA) + F.col("id")).alias("__h"), F.lit(None).cast("array<string>").alias("__ctx"), F.lit(None).cast("array<string>").alias("__items"))
+    contexts = contexts.unionByName(extra)
+
     base = docs.select(F.col(id_col).alias("__id"), word_array(F.col(text_col)).alias("__words"), F.monotonically_increasing_id().alias("__row"))
     base = base.withColumn("__n", F.size("__words").cast("long"))
-    # a null besides the kept values, so that every document has a row
     rows = winnowed(base).select("__row", "__id", "__n", "__words", F.explode(F.concat("__kept", F.array(F.lit(None).cast("bigint")))).alias("__v"))
-    rows = rows.select("__row", "__id", "__n", "__words", _hash(F.col("__v")).alias("__h"), _place(F.col("__v")).alias("__p"))
+    rows = rows.select("__row", "__id", "__n", "__words", F.coalesce(_hash(F.col("__v")), F.lit(EXTRA) + F.pmod("__row", F.lit(SALTS))).alias("__h"), F.coalesce(_place(F.col("__v")), F.lit(0)).alias("__p"))
     if n_contexts <= broadcast_rows:
-        met = rows.join(F.broadcast(contexts), "__h", "left")
+        # the words stay in place: the join's generated code copies them for the few rows that meet only
+        met = rows.join(F.broadcast(contexts), "__h")
         words, at = F.col("__words"), F.col("__p")
     else:
         near = F.transform(F.sequence(F.lit(-SPAN), F.lit(GRAM + SPAN - 1)), lambda d: F.get("__words", F.col("__p") + d))
-        met = rows.select("__row", "__id", "__n", "__h", "__p", F.when(F.col("__h").isNotNull(), near).alias("__near")).join(contexts, "__h", "left")
+        met = rows.select("__row", "__id", "__n", "__h", "__p", F.when(F.col("__h") < EXTRA, near).alias("__near")).join(contexts, "__h")
         words, at = F.col("__near"), F.lit(SPAN)
-    ctx, mid = F.col("__ctx"), F.lit(SPAN)
-    exact = _run(words, at, ctx, mid, range(GRAM)) == GRAM
-    left = _run(words, at, ctx, mid, range(-1, -SPAN - 1, -1))
-    right = _run(words, at, ctx, mid, range(GRAM, GRAM + SPAN))
-    met = met.where(F.col("__h").isNull() | F.col("__ctx").isNotNull()).select("__row", "__id", "__n", "__p", "__h", "__items", exact.alias("__exact"), left.alias("__left"), right.alias("__right"))
-    good = F.col("__exact") & (F.col("__left") + F.col("__right") + GRAM >= WINDOW)
+    same = F.transform(F.sequence(F.lit(-SPAN), F.lit(GRAM + SPAN - 1)), lambda d: F.coalesce(F.get(words, at + d) == F.get("__ctx", d + SPAN), F.lit(False)))
+    met = met.select("__row", "__id", "__n", "__p", "__items", F.when(F.col("__h") < EXTRA, same).alias("__same"))
+    left = _first_miss(F.reverse(F.slice("__same", 1, SPAN)), SPAN)
+    right = _first_miss(F.slice("__same", SPAN + GRAM + 1, SPAN), SPAN)
+    met = met.select("__row", "__id", "__n", "__p", "__items", F.array_contains(F.slice("__same", SPAN + 1, GRAM), False).alias("__miss"), left.alias("__left"), right.alias("__right"))
     hit = F.struct((F.col("__p") - F.col("__left")).alias("s"), (F.col("__p") + GRAM + F.col("__right") - 1).alias("e"), F.col("__items").alias("items"))
-    met = met.where(F.col("__h").isNull() | good).select("__row", "__id", "__n", F.when(F.col("__h").isNotNull(), hit).alias("__hit"))
+    good = ~F.col("__miss") & (F.col("__left") + F.col("__right") + GRAM >= WINDOW)
+    met = met.select("__row", "__id", "__n", F.when(good, hit).alias("__hit"))
 
     for size in lengths:
         keys = grams(short.where(F.size("__words") == size), size, "__grams").select(_hash(F.get("__grams", F.lit(0))).alias("__h"), F.col("__words").alias("__ctx"), "__item")
         keys = keys.groupBy("__h", "__ctx").agg(F.array_sort(F.collect_set("__item")).alias("__items"))
-        runs = grams(base, size, "__grams").select("__row", "__id", "__n", "__words", F.explode("__grams").alias("__v"))
+        runs = grams(base, size, "__grams").select("__row", "__id", "__n", "__words", F.explode_outer("__grams").alias("__v"))
         runs = runs.select("__row", "__id", "__n", F.slice("__words", _place(F.col("__v")) + 1, size).alias("__ctx"), _place(F.col("__v")).alias("__p"), _hash(F.col("__v")).alias("__h"))
         found = runs.join(keys, ["__h", "__ctx"])
         met = met.unionByName(found.select("__row", "__id", "__n", F.struct(F.col("__p").alias("s"), (F.col("__p") + size - 1).alias("e"), F.col("__items").alias("items")).alias("__hit")))
