@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding (operator 8): suffix-array matching.
 
 Blanks become the meta symbol and a text is cut where a meta symbol follows
-another character; no piece of the model crosses such a place (checked when the
-model is loaded), so a chunk is encoded on its own and remembered. The new
+another character or an ASCII mark follows a letter; no piece of the model
+crosses such a place (checked when the model is loaded), so a chunk is encoded
+on its own, and the first ones met are remembered. The new
 chunks of a batch are joined, their suffix array is built by prefix doubling up
 to the longest piece, every piece is binary-searched for its range of
 occurrences, and the resulting edges are sorted by position. Relaxing takes,
@@ -27,9 +28,11 @@ from pyspark.sql import types as T
 from .batches import map_texts
 
 META = "▁"
-CHUNK = re.compile(f"{META}*[^{META}]+|{META}+")
-#: Remembered chunks; beyond it the memory is emptied (results don't change).
-CACHE = 200_000
+MARKS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+CHUNK = re.compile(rf"{META}*[^{META}{MARKS}]*[^\W\d_\xb2\xb3\xb9\xbc-\xbe](?=[{META}{MARKS}]|\Z)|{META}*[^{META}]+|{META}+")
+CROSSING = re.compile(rf"[^{META}]{META}|[^\W\d_\xb2\xb3\xb9\xbc-\xbe][{MARKS}]")
+#: Remembered chunks at most; others are encoded once a batch.
+CACHE = 400_000
 #: New chunks are matched in groups of about so many characters.
 GROUP_CHARS = 400_000
 
@@ -50,8 +53,8 @@ class Pieces:
         self.text = {i: sp.id_to_piece(i) for i in ids}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.id_of = {p: i for i, p in self.text.items()}
-        if any(re.search(f"[^{META}]{META}", p) for p in self.id_of):
-            raise ValueError("a piece goes on over a blank; this model can't be cut there")
+        if any(CROSSING.search(p) for p in self.id_of):
+            raise ValueError("a piece goes on over a blank or a mark; this model can't be cut there")
         # a higher level is a better score; equal scores share a level
         many = [i for i in ids if len(self.text[i]) > 1]
         scores = np.array([sp.get_score(i) for i in many])
@@ -71,7 +74,9 @@ class Pieces:
                     careful.add(level[q])
         self.careful = np.zeros(int(self.level.max()) + 1, bool)
         self.careful[list(careful)] = True
-        self.seen: dict[str, list[int]] = {}
+        #: the text of every id; None where a byte piece or a sign without text needs the slow way
+        self.plain = [self.text.get(i) for i in range(sp.get_piece_size())]
+        self.seen: dict[str, bytes] = {}
 
     def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, row of the piece) of every occurrence of a piece, by start then size."""
@@ -109,21 +114,24 @@ class Pieces:
         by = np.lexsort((self.size[piece], start))
         return start[by], piece[by]
 
-    def encode_chunks(self, chunks: list[str]) -> None:
+    def encode_chunks(self, chunks: list[str], into: dict[str, bytes]) -> None:
+        """The ids of each chunk as little-endian 32-bit integers."""
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         starts = np.cumsum(sizes + 1) - (sizes + 1)
         n = int((sizes + 1).sum())
         code = np.frombuffer("\0".join(chunks).encode("utf-32-le", "surrogatepass") + b"\0\0\0\0", np.uint32).astype(np.int64)
         code[starts + sizes] = -1  # ends a chunk; no piece has it
         s, p = self.edges(code)
-        end, level = s + self.size[p], self.level[p]
+        end, level, made = s + self.size[p], self.level[p], self.many[p]
         chunk_of = np.repeat(np.arange(len(chunks)), sizes + 1)
+        kinds, kind = np.unique(code, return_inverse=True)
+        piece = np.array([self.id_of.get(chr(c), -1) if c >= 0 else -1 for c in kinds.tolist()], np.int64)[kind]  # of the symbol that starts here
         nxt = np.arange(1, n + 1)  # where the symbol that starts here ends
         is_start = np.ones(n + 1, bool)
         while len(s):
             mid = nxt[s]
             alive = is_start[s] & is_start[end] & (mid < end)
-            s, end, level, mid = s[alive], end[alive], level[alive], mid[alive]
+            s, end, level, mid, made = s[alive], end[alive], level[alive], mid[alive], made[alive]
             if not len(s):
                 break
             able = np.flatnonzero(nxt[mid] == end)
@@ -154,46 +162,60 @@ class Pieces:
             hit = hit[take]
             is_start[mid[hit]] = False
             nxt[s[hit]] = end[hit]
+            piece[s[hit]] = made[hit]
             busy = np.zeros(len(chunks), bool)
             busy[c] = True
             rest = busy[chunk_of[s]]
-            s, end, level = s[rest], end[rest], level[rest]
+            s, end, level, made = s[rest], end[rest], level[rest], made[rest]
+        is_start[starts + sizes] = False
         cuts = np.flatnonzero(is_start[:n])
         which = np.searchsorted(cuts, starts)
         upto = np.r_[which[1:], len(cuts)]
-        cuts = cuts.tolist()
-        for t, o, a, z in zip(chunks, starts.tolist(), which.tolist(), upto.tolist(), strict=True):
-            at = [x - o for x in cuts[a:z]]  # the last is the chunk's end
-            out = []
-            for x, y in zip(at, at[1:], strict=False):
-                i = self.id_of.get(w := t[x:y])
-                if i is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out += [self.bytes[b] for b in w.encode("utf-8", "surrogatepass")]
-                else:
-                    out.append(self.unk)
-            self.seen[t] = out
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        ids = piece[cuts]
+        lost = np.zeros(len(cuts) + 1, np.int64)
+        lost[1:] = np.cumsum(ids < 0)
+        raw = ids.astype("<i4").tobytes()
+        for t, a, z, missing in zip(chunks, which.tolist(), upto.tolist(), (lost[upto] > lost[which]).tolist(), strict=True):
+            into[t] = self._with_bytes(cuts[a:z], ids[a:z], code) if missing else raw[4 * a : 4 * z]
+
+    def _with_bytes(self, at: np.ndarray, ids: np.ndarray, code: np.ndarray) -> bytes:
+        """Symbols without a piece (single characters) as byte pieces, or unknown where the model has none."""
+        out: list[int] = []
+        for c, i in zip(code[at].tolist(), ids.tolist(), strict=True):
+            if i >= 0:
+                out.append(i)
+            elif self.bytes:
+                out += [self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")]
+            else:
+                out.append(self.unk)
+        return np.array(out, "<i4").tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [CHUNK.findall(META + t.replace(" ", META)) if t else [] for t in texts]
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        group, size = [], 0
-        for c in dict.fromkeys(c for cs in cut for c in cs):
-            if c not in self.seen:
-                group.append(c)
-                size += len(c)
-                if size > GROUP_CHARS:
-                    self.encode_chunks(group)
-                    group, size = [], 0
-        if group:
-            self.encode_chunks(group)
         seen = self.seen
-        return [[i for c in cs for i in seen[c]] for cs in cut]
-
-    def decode(self, ids: list[int]) -> str:
+        group, size, fresh = [], 0, {}
+        for c in {c for cs in cut for c in cs if c not in seen}:
+            group.append(c)
+            size += len(c)
+            if size > GROUP_CHARS:
+                self.encode_chunks(group, fresh)
+                group, size = [], 0
+        if group:
+            self.encode_chunks(group, fresh)
+        if len(seen) < CACHE:
+            seen.update(fresh)
+            fresh = {}
+        get = (lambda c: seen.get(c) or fresh[c]) if fresh else seen.__getitem__
+        return [np.frombuffer(b"".join(map(get, cs)), "<i4") for cs in cut]
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """Pieces joined, byte pieces read as UTF-8, the meta symbol a blank, less the blank put at the start."""
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        try:
+            return "".join(map(self.plain.__getitem__, ids)).replace(META, " ")[1:]
+        except TypeError:
+            pass  # a byte piece or control sign among them
         text, raw = [], bytearray()
         get, byte_of = self.text.get, self.byte_of
         for i in ids:
@@ -235,13 +257,13 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 
     def make():
         pieces = loaded(path)
-        return lambda rows: {"text": [pieces.decode(r or []) for r in rows]}
+        return lambda rows: {"text": [pieces.decode([] if r is None else r) for r in rows]}
 
     return map_texts(df, ids_col, [id_col], [T.StructField("text", T.StringType())], make)
 
 
 def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_pieces, ids_sha256 (of the ids, comma-joined) and round_trip (decoding gives the text back)."""
+    """id, n_bytes, n_pieces, ids_sha256 (of the ids as little-endian 32-bit integers) and round_trip (decoding gives the text back)."""
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
 
     def make():
@@ -252,7 +274,7 @@ def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             return {
                 "n_bytes": [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts],
                 "n_pieces": [len(x) for x in ids],
-                "ids_sha256": [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
+                "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
                 "round_trip": [pieces.decode(x) == (t or "").replace(META, " ") for x, t in zip(ids, texts, strict=True)],
             }
 

@@ -28,7 +28,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: Byte-level pre-tokens (fixed pattern of this vocabulary), on a text without blanks but at its start.
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Remembered chunks; beyond it the memory is emptied (results don't change).
+#: Remembered chunks at most; others are merged once a batch.
 CACHE = 300_000
 
 
@@ -95,12 +95,12 @@ class Bpe:
             sym, seq = sym[keep], seq[keep]
         return done
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str], into: dict[str, int]) -> None:
         cut = [self.pre.findall(c) for c in chunks]
         flat = list(dict.fromkeys(t for c in cut for t in c))
         counts = dict(zip(flat, self.merge_counts([t.encode("utf-8", "surrogatepass") for t in flat]).tolist(), strict=True)) if flat else {}
         for c, ts in zip(chunks, cut, strict=True):
-            self.seen[c] = sum(map(counts.__getitem__, ts))
+            into[c] = sum(map(counts.__getitem__, ts))
 
     def counts(self, texts: list[str | None]) -> list[int]:
         extra, cut = [0] * len(texts), []
@@ -112,13 +112,15 @@ class Bpe:
                 cut.append([c for p in parts for c in CHUNK.findall(p)])
             else:
                 cut.append(CHUNK.findall(t))
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        seen = self.seen
+        seen, fresh = self.seen, {}
         new = {c for cs in cut for c in cs if c not in seen}
         if new:
-            self.learn(list(new))
-        return [e + sum(map(seen.__getitem__, cs)) for e, cs in zip(extra, cut, strict=True)]
+            self.learn(list(new), fresh)
+        if len(seen) < CACHE:
+            seen.update(fresh)
+            fresh = {}
+        get = (lambda c: seen.get(c) or fresh[c]) if fresh else seen.__getitem__
+        return [e + sum(map(get, cs)) for e, cs in zip(extra, cut, strict=True)]
 
 
 _LOADED: dict[str, Bpe] = {}
