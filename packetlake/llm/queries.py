@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, sentence_pieces, token_counts
+from . import decontaminate, katz, pii, quality, sentence_pieces, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -41,5 +41,14 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op7_token_counts, op8_sentence_pieces)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op7_token_counts, op8_sentence_pieces, op9_quality, op10_katz)}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}
