@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, katz, pii, quality, sentence_pieces, token_counts
+from . import decontaminate, html_text, katz, pii, quality, sentence_pieces, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -33,6 +33,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -50,5 +54,5 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op7_token_counts, op8_sentence_pieces, op9_quality, op10_katz)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op5_html_text, op7_token_counts, op8_sentence_pieces, op9_quality, op10_katz)}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}
