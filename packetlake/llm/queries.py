@@ -8,8 +8,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, katz, pii, quality, sentence_pieces, token_counts
+from . import decontaminate, html_text, katz, neighbours, pii, quality, sentence_pieces, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -33,6 +34,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -54,5 +59,5 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op5_html_text, op7_token_counts, op8_sentence_pieces, op9_quality, op10_katz)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op4_neighbours, op5_html_text, op7_token_counts, op8_sentence_pieces, op9_quality, op10_katz)}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}
