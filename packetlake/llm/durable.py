@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,5 +30,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def forget(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished jobs, which wait for the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

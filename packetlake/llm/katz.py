@@ -46,20 +46,47 @@ from .durable import forget, saved
 
 CUT = 5
 #: Characters in a block, about.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
 #: The hash of the end token, which also opens every text.
 END = np.uint64(0x9E3779B97F4A7C15)
 
-ROWS = "block long, part long, a binary, b binary, c binary, d binary, e binary"
+ROWS = "block long, part long, a binary, b binary, c binary, d binary, e binary, f binary"
 EMPTY = b""
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    """Compressed; whole numbers in the smallest type that holds them all, named by the first byte."""
+    if x.dtype.kind in "iu":
+        top = int(x.max()) if x.size else 0
+        kind = next(k for k in ("u1", "u2", "u4", "u8") if top < 1 << 8 * int(k[1]))
+        return kind[1].encode() + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
+    return b"f" + zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
 
-def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+def _unpack(b: bytes) -> np.ndarray:
+    kind = chr(b[0])
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), "f8" if kind == "f" else f"u{kind}")
+    return x if kind == "f" else x.astype(np.int64)
+
+
+def _deal(batches):
+    """Rows of a batch by block, each share as a compressed Arrow stream."""
+    for b in batches:
+        table = pa.Table.from_batches([b])
+        order, runs = _by_part(table.column("block").to_numpy())
+        table = table.drop_columns(["block"]).take(order)
+        blocks, blobs = [], []
+        for k, i, j in runs:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table.slice(i, j - i))
+            blocks.append(k)
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "rows"])
+
+
+def _dealt(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()])
 
 
 def _text_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,9 +120,9 @@ def _word_part(words: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    names = ("block", "part", "a", "b", "c", "d", "e")
-    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+    names = ("block", "part", "a", "b", "c", "d", "e", "f")
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
+    cols = list(zip(*((*r, *[EMPTY] * (8 - len(r))) for r in rows), strict=True)) if rows else [()] * 8
     return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
 
@@ -142,12 +169,12 @@ def _slots(c: np.ndarray, n: int, parts: int) -> np.ndarray:
 def _send_words(parts: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        tok, _, train = _text_tokens(table)
+        tok, _, train = _text_tokens(_dealt(table))
         words, at = _vocabulary(tok)
         c = np.bincount(at[train], minlength=len(words)).astype(np.uint32)
         order, runs = _by_part(_word_part(words, parts))
         words, c = words[order], c[order]
-        return _table([(block, p, words[i:j].tobytes(), _pack(c[i:j]), EMPTY, EMPTY, EMPTY) for p, i, j in runs])
+        return _table([(block, p, words[i:j].tobytes(), _pack(c[i:j])) for p, i, j in runs])
 
     return run
 
@@ -156,14 +183,14 @@ def _add_words(table: pa.Table) -> pa.Table:
     part = table.column("part")[0].as_py()
     blocks = table.column("block").to_pylist()
     keys = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
-    counts = np.concatenate([_unpack(x, np.uint32) for x in table.column("b").to_pylist()])
+    counts = np.concatenate([_unpack(x) for x in table.column("b").to_pylist()])
     words, at = _vocabulary(np.concatenate(keys))
     total = np.bincount(at, counts, len(words)).astype(np.int64)
     back, rows, i = total[at], [], 0
     for block, k in zip(blocks, keys, strict=True):
-        rows.append((block, part, _pack(back[i : i + len(k)]), EMPTY, EMPTY, EMPTY, EMPTY))
+        rows.append((block, part, _pack(back[i : i + len(k)])))
         i += len(k)
-    return _table([*rows, (-1, part, _stats(total).tobytes(), EMPTY, EMPTY, EMPTY, EMPTY)])
+    return _table([*rows, (-1, part, _stats(total).tobytes())])
 
 
 class _Block:
@@ -175,7 +202,7 @@ class _Block:
         order, runs = _by_part(_word_part(self.words, parts))
         got = dict(zip(answers.column("part").to_pylist(), answers.column("a").to_pylist(), strict=True))
         self.total = np.zeros(len(self.words), np.int64)
-        self.total[order] = np.concatenate([_unpack(got[p], np.int64) for p, _, _ in runs]) if runs else []
+        self.total[order] = np.concatenate([_unpack(got[p]) for p, _, _ in runs]) if runs else []
         ends = np.cumsum(self.sizes) - 1
         w = self.at
         h = np.roll(w, 1)
@@ -202,7 +229,7 @@ def _send_pairs(uni: Unigrams, parts: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([])
-        b = _Block(table, answers, uni, parts)
+        b = _Block(_dealt(table), answers, uni, parts)
         block = table.column("block")[0].as_py()
         c = np.bincount(b.pair_at[b.train], minlength=len(b.pairs)).astype(np.uint32)
         order, runs = _by_part(b.part)
@@ -215,8 +242,9 @@ def _send_pairs(uni: Unigrams, parts: int):
             sel = order[lo:hi]
             # pairs are sorted by history, as are the asked ones: the number of pairs of each
             k = np.searchsorted(b.h[sel], asked, side="right") - np.searchsorted(b.h[sel], asked)
-            w = b.w[sel]
-            rows.append((block, p, b.words[asked].tobytes(), _pack(k.astype(np.uint32)), b.words[w].tobytes(), _pack(b.total[w]), _pack(c[sel])))
+            # second words by their place in a list of the different ones
+            own, code = np.unique(b.w[sel], return_inverse=True)
+            rows.append((block, p, b.words[asked].tobytes(), _pack(k), b.words[own].tobytes(), _pack(b.total[own]), _pack(code.reshape(-1)), _pack(c[sel])))
         return _table(rows)
 
     return run
@@ -227,10 +255,11 @@ def _add_pairs(uni: Unigrams):
         part = table.column("part")[0].as_py()
         blocks = table.column("block").to_pylist()
         asked = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
-        many = [_unpack(x, np.uint32) for x in table.column("b").to_pylist()]
-        w = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("c").to_pylist()])
-        wc = np.concatenate([_unpack(x, np.int64) for x in table.column("d").to_pylist()])
-        c = np.concatenate([_unpack(x, np.uint32) for x in table.column("e").to_pylist()])
+        many = [_unpack(x) for x in table.column("b").to_pylist()]
+        codes = [_unpack(x) for x in table.column("e").to_pylist()]
+        w = np.concatenate([np.frombuffer(x, np.uint64)[k] for x, k in zip(table.column("c").to_pylist(), codes, strict=True)])
+        wc = np.concatenate([_unpack(x)[k] for x, k in zip(table.column("d").to_pylist(), codes, strict=True)])
+        c = np.concatenate([_unpack(x) for x in table.column("f").to_pylist()])
         hist, hist_at = _vocabulary(np.concatenate(asked))
         h = np.repeat(hist_at, np.concatenate(many))
         pairs, first, at = np.unique(mix(hist[h] * np.uint64(3) + mix(w)), return_index=True, return_inverse=True)
@@ -245,15 +274,16 @@ def _add_pairs(uni: Unigrams):
         for block, a, m in zip(blocks, asked, many, strict=True):
             n = int(m.sum())
             mine = hist_at[k : k + len(a)]
-            rows.append((block, part, _pack(back[i : i + n]), _pack(sums[:, mine]), _pack(lower[mine]), EMPTY, EMPTY))
+            rows.append((block, part, _pack(back[i : i + n]), _pack(sums[:, mine]), _pack(lower[mine])))
             i, k = i + n, k + len(a)
-        return _table([*rows, (-1, part, _stats(total).tobytes(), EMPTY, EMPTY, EMPTY, EMPTY)])
+        return _table([*rows, (-1, part, _stats(total).tobytes())])
 
     return run
 
 
 def _score(uni: Unigrams, d: np.ndarray, parts: int, id_type: pa.DataType):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = _dealt(table)
         kind = np.array(answers.column("kind").to_pylist(), object) if answers.num_rows else np.zeros(0, object)
         b = _Block(table, answers.filter(pa.array(kind == "words")), uni, parts)
         got = answers.filter(pa.array(kind == "pairs"))
@@ -262,13 +292,13 @@ def _score(uni: Unigrams, d: np.ndarray, parts: int, id_type: pa.DataType):
         ask_order, ask_runs = _by_part(b.ask_part)
         count = np.zeros(len(b.pairs), np.int64)
         for p, i, j in runs:
-            count[order[i:j]] = _unpack(got[p][0], np.int64)
+            count[order[i:j]] = _unpack(got[p][0])
         n = len(b.words)
         sums, lower = np.zeros((CUT + 1, n)), np.zeros(n)
         for p, i, j in ask_runs:
             asked = b.ask[ask_order[i:j]]  # a history once in a partition
-            sums[:, asked] += _unpack(got[p][1], np.int64).reshape(CUT + 1, -1)
-            lower[asked] += _unpack(got[p][2], np.float64)
+            sums[:, asked] += _unpack(got[p][1]).reshape(CUT + 1, -1)
+            lower[asked] += _unpack(got[p][2])
         # per history: the mass that its seen bigrams keep, and what is left for the others
         r = np.arange(1, CUT + 1)
         full = r @ sums[:CUT] + sums[CUT]
@@ -309,7 +339,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     parts = max(2, math.ceil(chars / block_chars))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))).alias("train"), F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).alias("block"))
-    by_block = rows.groupBy("block")
+    by_block = rows.mapInArrow(_deal, "block long, rows binary").groupBy("block")
 
     words = saved(by_block.applyInArrow(_send_words(parts), ROWS).groupBy("part").applyInArrow(_add_words, ROWS))
     forget(spark)
