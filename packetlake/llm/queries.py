@@ -10,7 +10,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, katz, neighbours, pii, quality, sentence_pieces, token_counts
+from . import decontaminate, html_text, katz, neighbours, pii, quality, repeats, sentence_pieces, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -34,6 +34,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -59,5 +63,5 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op4_neighbours, op5_html_text, op7_token_counts, op8_sentence_pieces, op9_quality, op10_katz)}
-ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_repeats, op4_neighbours, op5_html_text, op7_token_counts, op8_sentence_pieces, op9_quality, op10_katz)}
+ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op3_repeats": repeats.ORACLE}
