@@ -10,7 +10,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, katz, neighbours, pii, quality, repeats, sentence_pieces, token_counts
+from . import decontaminate, html_text, jaccard, katz, neighbours, pii, quality, repeats, sentence_pieces, token_counts
 
 
 def tokenizer(name: str) -> str:
@@ -46,6 +46,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -63,5 +67,5 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_repeats, op4_neighbours, op5_html_text, op7_token_counts, op8_sentence_pieces, op9_quality, op10_katz)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_repeats, op4_neighbours, op5_html_text, op6_jaccard, op7_token_counts, op8_sentence_pieces, op9_quality, op10_katz)}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op3_repeats": repeats.ORACLE}
