@@ -13,7 +13,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS = "block long, part long, kind string, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -80,6 +80,6 @@ def count(docs: DataFrame, text_col: str, block_chars: int) -> int:
     return max(2, math.ceil(chars / block_chars))
 
 
-def deal(rows: DataFrame, parts: int, *by: str) -> DataFrame:
+def deal(rows: DataFrame, parts: int, *by: str | Column) -> DataFrame:
     """Rows (block, rows): the documents by the hash of ``by``, compressed."""
     return rows.withColumn("block", F.pmod(F.xxhash64(*by), F.lit(parts))).mapInArrow(_deal, "block long, rows binary")

@@ -132,6 +132,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     return by.select(F.col("__id").alias(id_col), F.col("__n").alias("n_words"), "n_hit", F.size("__ids").cast("long").alias("n_items"), F.sha2(F.array_join("__ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of documents without hits, in their own columns. An id that has a contaminated row goes whole."""
+    bad = contaminated(docs, bench, id_col, text_col, item_col, item_text_col).where("contaminated").select(F.col(id_col).alias("__bad")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+
+
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents

@@ -35,6 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .batches import gram_hashes, hash_words, lower_words, mix, multipliers
 from .blocks import ROWS, by_part, count, deal, dealt, keys, pack, rows_table, unpack
@@ -62,7 +63,8 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def set_hash(s: np.ndarray) -> tuple[int, int]:
-    return int(mix(np.bitwise_xor.reduce(mix(s)) + np.uint64(len(s)))), int(mix(mix(s + np.uint64(1)).sum() + np.uint64(len(s))))
+    two = np.array([np.bitwise_xor.reduce(mix(s)), mix(s + np.uint64(1)).sum()], np.uint64)
+    return tuple(mix(two + np.uint64(len(s))).tolist())
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -351,7 +353,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     """Links (a, b) that connect all linked ids, and the holder of each id's class: (id, n_shingles, holder) for every row."""
     parts = count(docs, text_col, block_chars)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = deal(rows, parts, "id").groupBy("block")
+    blocks = deal(rows, parts, F.coalesce("id", F.xxhash64("text"))).groupBy("block")
     spark = docs.sparkSession
     met = saved(blocks.applyInArrow(_send_sets(parts), ROWS).groupBy("part").applyInArrow(_meet_sets, ROWS))
     forget(spark)
@@ -402,6 +404,25 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows whose id is the smallest of its component, once each, in their own columns."""
-    keep = joined(docs, id_col, text_col, block_chars).where(F.col(id_col).isNull() | (F.col("component_id") == F.col(id_col))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]), "left_semi").dropDuplicates([id_col])
+    """The rows whose id is the smallest of its component, one for each id, in their own columns; rows with a null id all stay."""
+    parts = count(docs, text_col, block_chars)
+    keep = joined(docs, id_col, text_col, block_chars).where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).cast("long").alias("id")).distinct()
+    keep = keep.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    schema = docs.schema
+    names = [f"c{i}" for i in range(len(schema))]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    arrow = to_arrow_schema(schema)
+
+    def pick(table: pa.Table, kept: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return arrow.empty_table()
+        mine, stays, take = dealt(table), set(kept.column("id").to_pylist()), []
+        for i, d in enumerate(mine.column("id").to_pylist()):
+            if d is None or d in stays:
+                take.append(i)
+                stays.discard(d)
+        mine = mine.select(names).take(pa.array(take, pa.int64()))
+        return pa.table([c.cast(t) for c, t in zip(mine.columns, arrow.types, strict=True)], schema=arrow)
+
+    place = F.coalesce("id", F.xxhash64(names[docs.columns.index(text_col)]))
+    return deal(rows, parts, place).groupBy("block").cogroup(keep.groupBy("block")).applyInArrow(pick, schema)

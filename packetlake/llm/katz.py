@@ -32,16 +32,15 @@ count and give a row; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .batches import hash_words, lower_words, mix
+from .blocks import by_part, count, deal, dealt, pack, unpack
 from .durable import forget, saved
 
 CUT = 5
@@ -54,41 +53,6 @@ ROWS = "block long, part long, a binary, b binary, c binary, d binary, e binary,
 EMPTY = b""
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Compressed; whole numbers in the smallest type that holds them all, named by the first byte."""
-    if x.dtype.kind in "iu":
-        top = int(x.max()) if x.size else 0
-        kind = next(k for k in ("u1", "u2", "u4", "u8") if top < 1 << 8 * int(k[1]))
-        return kind[1].encode() + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
-    return b"f" + zstandard.ZstdCompressor(level=1).compress(x.tobytes())
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    kind = chr(b[0])
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), "f8" if kind == "f" else f"u{kind}")
-    return x if kind == "f" else x.astype(np.int64)
-
-
-def _deal(batches):
-    """Rows of a batch by block, each share as a compressed Arrow stream."""
-    for b in batches:
-        table = pa.Table.from_batches([b])
-        order, runs = _by_part(table.column("block").to_numpy())
-        table = table.drop_columns(["block"]).take(order)
-        blocks, blobs = [], []
-        for k, i, j in runs:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table.slice(i, j - i))
-            blocks.append(k)
-            blobs.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "rows"])
-
-
-def _dealt(table: pa.Table) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()])
-
-
 def _text_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens of a block one after the other, each text's number of tokens, and for each token whether it trains."""
     parts, sizes = [], []
@@ -107,14 +71,6 @@ def _vocabulary(tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, at.reshape(-1)
 
 
-def _by_part(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """A stable order by partition, and (partition, from, to) of its stretches."""
-    order = np.argsort(part, kind="stable")
-    p = part[order]
-    starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
-    return order, list(zip(p[starts].tolist(), starts.tolist(), np.r_[starts[1:], len(p)].tolist(), strict=True))
-
-
 def _word_part(words: np.ndarray, parts: int) -> np.ndarray:
     return (mix(words) % np.uint64(parts)).astype(np.int64)
 
@@ -169,12 +125,12 @@ def _slots(c: np.ndarray, n: int, parts: int) -> np.ndarray:
 def _send_words(parts: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        tok, _, train = _text_tokens(_dealt(table))
+        tok, _, train = _text_tokens(dealt(table))
         words, at = _vocabulary(tok)
         c = np.bincount(at[train], minlength=len(words)).astype(np.uint32)
-        order, runs = _by_part(_word_part(words, parts))
+        order, runs = by_part(_word_part(words, parts))
         words, c = words[order], c[order]
-        return _table([(block, p, words[i:j].tobytes(), _pack(c[i:j])) for p, i, j in runs])
+        return _table([(block, p, words[i:j].tobytes(), pack(c[i:j])) for p, i, j in runs])
 
     return run
 
@@ -183,12 +139,12 @@ def _add_words(table: pa.Table) -> pa.Table:
     part = table.column("part")[0].as_py()
     blocks = table.column("block").to_pylist()
     keys = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
-    counts = np.concatenate([_unpack(x) for x in table.column("b").to_pylist()])
+    counts = np.concatenate([unpack(x) for x in table.column("b").to_pylist()])
     words, at = _vocabulary(np.concatenate(keys))
     total = np.bincount(at, counts, len(words)).astype(np.int64)
     back, rows, i = total[at], [], 0
     for block, k in zip(blocks, keys, strict=True):
-        rows.append((block, part, _pack(back[i : i + len(k)])))
+        rows.append((block, part, pack(back[i : i + len(k)])))
         i += len(k)
     return _table([*rows, (-1, part, _stats(total).tobytes())])
 
@@ -199,10 +155,10 @@ class _Block:
     def __init__(self, table: pa.Table, answers: pa.Table, uni: Unigrams, parts: int):
         tok, self.sizes, self.train = _text_tokens(table)
         self.words, self.at = _vocabulary(tok)
-        order, runs = _by_part(_word_part(self.words, parts))
+        order, runs = by_part(_word_part(self.words, parts))
         got = dict(zip(answers.column("part").to_pylist(), answers.column("a").to_pylist(), strict=True))
         self.total = np.zeros(len(self.words), np.int64)
-        self.total[order] = np.concatenate([_unpack(got[p]) for p, _, _ in runs]) if runs else []
+        self.total[order] = np.concatenate([unpack(got[p]) for p, _, _ in runs]) if runs else []
         ends = np.cumsum(self.sizes) - 1
         w = self.at
         h = np.roll(w, 1)
@@ -229,11 +185,11 @@ def _send_pairs(uni: Unigrams, parts: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([])
-        b = _Block(_dealt(table), answers, uni, parts)
+        b = _Block(dealt(table), answers, uni, parts)
         block = table.column("block")[0].as_py()
         c = np.bincount(b.pair_at[b.train], minlength=len(b.pairs)).astype(np.uint32)
-        order, runs = _by_part(b.part)
-        ask_order, ask_runs = _by_part(b.ask_part)
+        order, runs = by_part(b.part)
+        ask_order, ask_runs = by_part(b.ask_part)
         pairs = {p: (i, j) for p, i, j in runs}
         rows = []
         for p, i, j in ask_runs:
@@ -244,7 +200,7 @@ def _send_pairs(uni: Unigrams, parts: int):
             k = np.searchsorted(b.h[sel], asked, side="right") - np.searchsorted(b.h[sel], asked)
             # second words by their place in a list of the different ones
             own, code = np.unique(b.w[sel], return_inverse=True)
-            rows.append((block, p, b.words[asked].tobytes(), _pack(k), b.words[own].tobytes(), _pack(b.total[own]), _pack(code.reshape(-1)), _pack(c[sel])))
+            rows.append((block, p, b.words[asked].tobytes(), pack(k), b.words[own].tobytes(), pack(b.total[own]), pack(code.reshape(-1)), pack(c[sel])))
         return _table(rows)
 
     return run
@@ -255,11 +211,11 @@ def _add_pairs(uni: Unigrams):
         part = table.column("part")[0].as_py()
         blocks = table.column("block").to_pylist()
         asked = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
-        many = [_unpack(x) for x in table.column("b").to_pylist()]
-        codes = [_unpack(x) for x in table.column("e").to_pylist()]
+        many = [unpack(x) for x in table.column("b").to_pylist()]
+        codes = [unpack(x) for x in table.column("e").to_pylist()]
         w = np.concatenate([np.frombuffer(x, np.uint64)[k] for x, k in zip(table.column("c").to_pylist(), codes, strict=True)])
-        wc = np.concatenate([_unpack(x)[k] for x, k in zip(table.column("d").to_pylist(), codes, strict=True)])
-        c = np.concatenate([_unpack(x) for x in table.column("f").to_pylist()])
+        wc = np.concatenate([unpack(x)[k] for x, k in zip(table.column("d").to_pylist(), codes, strict=True)])
+        c = np.concatenate([unpack(x) for x in table.column("f").to_pylist()])
         hist, hist_at = _vocabulary(np.concatenate(asked))
         h = np.repeat(hist_at, np.concatenate(many))
         pairs, first, at = np.unique(mix(hist[h] * np.uint64(3) + mix(w)), return_index=True, return_inverse=True)
@@ -274,7 +230,7 @@ def _add_pairs(uni: Unigrams):
         for block, a, m in zip(blocks, asked, many, strict=True):
             n = int(m.sum())
             mine = hist_at[k : k + len(a)]
-            rows.append((block, part, _pack(back[i : i + n]), _pack(sums[:, mine]), _pack(lower[mine])))
+            rows.append((block, part, pack(back[i : i + n]), pack(sums[:, mine]), pack(lower[mine])))
             i, k = i + n, k + len(a)
         return _table([*rows, (-1, part, _stats(total).tobytes())])
 
@@ -283,22 +239,22 @@ def _add_pairs(uni: Unigrams):
 
 def _score(uni: Unigrams, d: np.ndarray, parts: int, id_type: pa.DataType):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        table = _dealt(table)
+        table = dealt(table)
         kind = np.array(answers.column("kind").to_pylist(), object) if answers.num_rows else np.zeros(0, object)
         b = _Block(table, answers.filter(pa.array(kind == "words")), uni, parts)
         got = answers.filter(pa.array(kind == "pairs"))
         got = dict(zip(got.column("part").to_pylist(), zip(*(got.column(x).to_pylist() for x in "abc"), strict=True), strict=True))
-        order, runs = _by_part(b.part)
-        ask_order, ask_runs = _by_part(b.ask_part)
+        order, runs = by_part(b.part)
+        ask_order, ask_runs = by_part(b.ask_part)
         count = np.zeros(len(b.pairs), np.int64)
         for p, i, j in runs:
-            count[order[i:j]] = _unpack(got[p][0])
+            count[order[i:j]] = unpack(got[p][0])
         n = len(b.words)
         sums, lower = np.zeros((CUT + 1, n)), np.zeros(n)
         for p, i, j in ask_runs:
             asked = b.ask[ask_order[i:j]]  # a history once in a partition
-            sums[:, asked] += _unpack(got[p][1]).reshape(CUT + 1, -1)
-            lower[asked] += _unpack(got[p][2])
+            sums[:, asked] += unpack(got[p][1]).reshape(CUT + 1, -1)
+            lower[asked] += unpack(got[p][2])
         # per history: the mass that its seen bigrams keep, and what is left for the others
         r = np.arange(1, CUT + 1)
         full = r @ sums[:CUT] + sums[CUT]
@@ -336,10 +292,9 @@ def _global(answers: DataFrame) -> np.ndarray:
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    parts = max(2, math.ceil(chars / block_chars))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))).alias("train"), F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).alias("block"))
-    by_block = rows.mapInArrow(_deal, "block long, rows binary").groupBy("block")
+    parts = count(docs, text_col, block_chars)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))).alias("train"))
+    by_block = deal(rows, parts, "id", "text").groupBy("block")
 
     words = saved(by_block.applyInArrow(_send_words(parts), ROWS).groupBy("part").applyInArrow(_add_words, ROWS))
     forget(spark)
@@ -355,7 +310,5 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    from pyspark.sql.pandas.types import to_arrow_type
-
     out = by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(uni, d, parts, to_arrow_type(id_type)), schema)
     return out.withColumnRenamed("id", id_col)

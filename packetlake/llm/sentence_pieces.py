@@ -262,9 +262,11 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return map_texts(df, ids_col, [id_col], [T.StructField("text", T.StringType())], make)
 
 
-def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_pieces, ids_sha256 (of the ids as little-endian 32-bit integers) and round_trip (decoding gives the text back)."""
+def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """id, n_bytes, n_pieces, ids_sha256 (of the ids as little-endian 32-bit integers) and round_trip (decoding gives the text back); the ids too if asked for."""
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
+    if with_ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def make():
         pieces = loaded(path)
@@ -276,6 +278,7 @@ def encode_digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 "n_pieces": [len(x) for x in ids],
                 "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
                 "round_trip": [pieces.decode(x) == (t or "").replace(META, " ") for x, t in zip(ids, texts, strict=True)],
+                "ids": ids,
             }
 
         return run
