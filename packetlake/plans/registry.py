@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+import importlib
+
+from packetlake.plans.base import ORACLES, QUERIES
+
+for _name in ("detection", "connections", "rules", "stores"):
+    importlib.import_module(f"packetlake.plans.{_name}")
+
+__all__ = ["ORACLES", "QUERIES"]
