@@ -43,7 +43,7 @@ from .durable import forget, saved
 WINDOW, GRAM = 50, 8
 #: Segments of a group at most, before it is split.
 SPLIT = 20_000
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 NONE, ONE, TREE, SPREAD = range(4)
 #: Stands for "no document", which is smaller than none.
 NOBODY = np.int64(2**63 - 1)
@@ -326,7 +326,7 @@ def _deduplicated(docs, id_col, text_col, window, block_chars, split, last, fiel
     spark = docs.sparkSession
     parts = count(docs, text_col, block_chars)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = deal(rows, parts, "id").groupBy("block")
+    blocks = deal(rows, parts, F.coalesce("id", F.xxhash64("text"))).groupBy("block")
     states = saved(blocks.applyInArrow(_send(parts, window), ROWS).groupBy("part").applyInArrow(_meet(split), ROWS))
     forget(spark)
     trees = blocks.cogroup(states.groupBy("block")).applyInArrow(_send_words(parts, window), ROWS)
