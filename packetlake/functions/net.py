@@ -40,7 +40,10 @@ def in_cidr(ip: Column, cidr: str) -> Column:
 
 
 def is_private(ip: Column) -> Column:
-    return reduce(lambda a, b: a | b, (in_cidr(ip, r) for r in LOCAL_RANGES))
+    """Whether an IPv4 address is in one of the local ranges; the number is worked out once."""
+    nets = [ipaddress.ip_network(r) for r in LOCAL_RANGES]
+    inside = lambda n: reduce(lambda a, b: a | b, (n.between(int(x.network_address), int(x.broadcast_address)) for x in nets))
+    return F.coalesce(F.exists(F.array(ip_long(ip)), inside), F.lit(False))
 
 
 def same_subnet(a: Column, b: Column) -> Column:
