@@ -15,9 +15,10 @@ prefix, and linked documents share a shingle of both prefixes.
    sets: the texts of one side travel to the block of the other, each text once
    to a block.
 4. Where more than FEW groups share a shingle, first only the pairs with the
-   first of them are verified. What then isn't in one component is paired
-   completely (by size), across components only, so no link between components
-   is lost while a group of thousands of copies costs as many checks.
+   first REPS of them are verified, and a block leaves out pairs that its own
+   links connect already. What then isn't in one component is paired completely
+   (by size), across components only, so no link between components is lost
+   while a group of thousands of copies costs a few checks for each.
 
 Null and empty texts, and rows with a null id, have no set and link with nothing
 (their component is their own id). Texts of one to four words have one shingle,
@@ -46,7 +47,8 @@ SHINGLE = 5
 #: Links share at least NUMERATOR / DENOMINATOR of the union.
 NUMERATOR, DENOMINATOR = 3, 4
 SKETCH_BITS, SKETCH_CHUNKS = 20, 16
-FEW = 4
+#: Groups that share a shingle are all paired up to so many; beyond it each is first paired with REPS of them.
+FEW, REPS = 4, 8
 BLOCK_CHARS = 8_000_000
 #: Sketch rows go to partitions below zero, so they meet no other kind.
 LINKS = "a long, b long"
@@ -111,11 +113,12 @@ def _send_sets(parts: int):
     """Class keys of a block's documents, and its shingle counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, best = _block(table), {}
+        block, best, own = _block(table), {}, []
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, d, s in Docs(dealt(table)).sets():
+            k = set_hash(s) if len(s) else (0, 0)
+            own.append((0 if d is None else d, d is not None, len(s), *k))
             if d is not None and len(s):
-                k = set_hash(s)
                 best[d] = min(best.get(d, k), k)
                 np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         low: dict[tuple[int, int], int] = {}
@@ -125,6 +128,8 @@ def _send_sets(parts: int):
         ids = np.array([low[k] for k in sorted(low)], np.int64)
         order, runs = by_part((key[:, 0] % np.uint64(parts)).astype(np.int64)) if len(key) else (ids, [])
         rows = [(block, p, "class", key[order[i:j]].tobytes(), pack(ids[order[i:j]])) for p, i, j in runs]
+        ids, known, n, one, two = zip(*own, strict=True)
+        rows.append((block, block, "docs", *(pack(np.array(x, np.int64)) for x in (ids, known, n)), np.array([one, two], np.uint64).T.tobytes()))
         size = len(sketch) // SKETCH_CHUNKS
         rows += [(block, -1 - c, "sketch", pack(sketch[c * size : (c + 1) * size])) for c in range(SKETCH_CHUNKS)]
         return rows_table(rows)
@@ -141,11 +146,17 @@ def _meet_sets(table: pa.Table) -> pa.Table:
             total = total + unpack(x)
         # only the order of magnitude counts
         return rows_table([(-1, part, "sketch", np.ceil(np.log2(total + 1) * 4).astype(np.uint8).tobytes())])
+    kind = table.column("kind").to_pylist()
+    rows = [(x["block"], part, "docs", x["a"], x["b"], x["c"], x["d"]) for x in table.to_pylist() if x["kind"] == "docs"]
+    table = table.filter(pa.array([k == "class" for k in kind]))
+    a = table.column("a").to_pylist()
+    if not a:
+        return rows_table(rows)
     key = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in a]
     at = np.unique(np.concatenate(key), axis=0, return_inverse=True)[1].reshape(-1)
     low = np.full(int(at.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, at, np.concatenate([unpack(x) for x in table.column("b").to_pylist()]))
-    rows, i = [], 0
+    i = 0
     for b, k in zip(table.column("block").to_pylist(), key, strict=True):
         rows.append((b, part, "class", k.tobytes(), pack(low[at[i : i + len(k)]])))
         i += len(k)
@@ -154,7 +165,9 @@ def _meet_sets(table: pa.Table) -> pa.Table:
 
 def _holders(answers: pa.Table) -> dict[tuple[int, int], int]:
     out = {}
-    for a, b in zip(answers.column("a").to_pylist(), answers.column("b").to_pylist(), strict=True):
+    for k, a, b in zip(*(answers.column(x).to_pylist() for x in ("kind", "a", "b")), strict=True):
+        if k != "class":
+            continue
         out.update(zip(map(tuple, np.frombuffer(a, np.uint64).reshape(-1, 2).tolist()), unpack(b).tolist(), strict=True))
     return out
 
@@ -217,12 +230,25 @@ def _fits(n1, p1, n2, p2):
     return (DENOMINATOR * np.minimum(n1, n2) >= NUMERATOR * np.maximum(n1, n2)) & (most >= need)
 
 
-PAIRS = "kind string, run long, b1 long, d1 long, b2 long, d2 long, size long"
+PAIRS = "kind string, b1 long, b2 long, a binary, b binary, run long, d1 long, size long"
+
 
+def _pair_rows(b1, d1, b2, d2) -> pa.Table:
+    """Pairs packed by their two blocks."""
+    if not len(b1):
+        return _pairs([])
+    order = np.lexsort((d2, d1, b2, b1))
+    b1, d1, b2, d2 = b1[order], d1[order], b2[order], d2[order]
+    cut = np.flatnonzero(np.r_[True, (np.diff(b1) != 0) | (np.diff(b2) != 0)])
+    ends = np.r_[cut[1:], len(b1)]
+    rows = [("pair", int(b1[i]), int(b2[i]), pack(d1[i:j]), pack(d2[i:j]), 0, 0, 0) for i, j in zip(cut.tolist(), ends.tolist(), strict=True)]
+    return _pairs(rows)
 
-def _pair_table(kind, run, b1, d1, b2, d2, size) -> pa.Table:
-    n = len(d1)
-    return pa.table({"kind": pa.array([kind] * n, pa.string()), **{k: pa.array(v, pa.int64()) for k, v in (("run", run), ("b1", b1), ("d1", d1), ("b2", b2), ("d2", d2), ("size", size))}})
+
+def _pairs(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("kind", "b1", "b2", "a", "b", "run", "d1", "size"), cols, kinds, strict=True)})
 
 
 def _meet_prefixes(table: pa.Table) -> pa.Table:
@@ -235,7 +261,7 @@ def _meet_prefixes(table: pa.Table) -> pa.Table:
     tok, ids, size, pos, block = tok[order], ids[order], size[order], pos[order], block[order]
     start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
     n = np.diff(np.r_[start, len(tok)])
-    few, crowd = start[(n > 1) & (n <= FEW)], start[n > FEW]
+    crowd = start[n > FEW]
     left, right = [], []
     for k in range(2, FEW + 1):
         s = start[n == k]
@@ -244,33 +270,34 @@ def _meet_prefixes(table: pa.Table) -> pa.Table:
                 left.append(s + j)
                 right.append(s + i)
     crowd_n = n[n > FEW]
-    left.append(np.repeat(crowd, crowd_n - 1))
-    right.append(np.repeat(crowd, crowd_n - 1) + 1 + np.arange((crowd_n - 1).sum()) - np.repeat(np.cumsum(crowd_n - 1) - (crowd_n - 1), crowd_n - 1))
+    for r in range(REPS):
+        some = crowd_n > r + 1
+        at, rest = crowd[some], crowd_n[some] - r - 1
+        left.append(np.repeat(at + r, rest))
+        right.append(np.repeat(at + r, rest) + 1 + np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest))
     a, b = np.concatenate(left), np.concatenate(right)
     ok = _fits(size[a], pos[a], size[b], pos[b])
     a, b = a[ok], b[ok]
     _, one = np.unique(mix(ids[a].astype(np.uint64)) * np.uint64(3) + mix(ids[b].astype(np.uint64) + np.uint64(1)), return_index=True)
     a, b = a[one], b[one]
-    pairs = _pair_table("pair", np.zeros(len(a), np.int64), block[a], ids[a], block[b], ids[b], size[b])
+    pairs = _pair_rows(block[a], ids[a], block[b], ids[b])
     # crowds with the same members are one
     seen, rows = set(), []
     for s, k in zip(crowd.tolist(), crowd_n.tolist(), strict=True):
         key = int(mix(mix(ids[s : s + k].astype(np.uint64)) * np.uint64(5)).sum() ^ np.uint64(k))
         if key not in seen:
             seen.add(key)
-            rows.append((s, k, key))
-    if rows:
-        at = np.concatenate([np.arange(s, s + k) for s, k, _ in rows])
-        run = np.repeat(np.array([k for *_, k in rows], np.uint64).view(np.int64), [k for _, k, _ in rows])
-        z = np.zeros(len(at), np.int64)
-        pairs = pa.concat_tables([pairs, _pair_table("crowd", run, block[at], ids[at], z, z, size[at])])
-    return pairs
+            run = key - (1 << 64) if key >= 1 << 63 else key
+            rows += [("crowd", x, 0, b"", b"", run, y, z) for x, y, z in zip(block[s : s + k].tolist(), ids[s : s + k].tolist(), size[s : s + k].tolist(), strict=True)]
+    return pa.concat_tables([pairs, _pairs(rows)])
 
 
 def _ask(table: pa.Table) -> pa.Table:
     """Pairs of two blocks, packed, for both of them."""
     b1, b2 = table.column("b1")[0].as_py(), table.column("b2")[0].as_py()
-    d1, d2 = table.column("d1").to_numpy(), table.column("d2").to_numpy()
+    d1, d2 = (np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in "ab")
+    one = np.unique(np.stack([d1, d2], 1), axis=0)
+    d1, d2 = one[:, 0], one[:, 1]
     return rows_table([(b1, b2, "send", pack(np.unique(d1))), (b2, b1, "check", pack(d1), pack(d2))])
 
 
@@ -302,6 +329,14 @@ def _send_texts(table: pa.Table, asked: pa.Table) -> pa.Table:
 def _verify(table: pa.Table, asked: pa.Table) -> pa.Table:
     """Links among the members of the pairs asked for."""
     a_out, b_out = [], []
+    up: dict[int, int] = {}  # what this block's links connect
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
     if table.num_rows and asked.num_rows:
         group = _members(asked)
         cols = ("part", "kind", "a", "b", "c", "d")
@@ -320,9 +355,10 @@ def _verify(table: pa.Table, asked: pa.Table) -> pa.Table:
             for g, h in zip(*check[p], strict=True):
                 for m, s in far[g]:
                     for x in group.get(h, [h]):
-                        if m != x and linked(s, own[x]):
+                        if m != x and (r := root(m)) != (q := root(x)) and linked(s, own[x]):
                             a_out.append(m)
                             b_out.append(x)
+                            up[r] = q
     return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
 
@@ -345,8 +381,7 @@ def _across(table: pa.Table) -> pa.Table:
         left.append(np.full(len(j), i))
         right.append(j)
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-    z = np.zeros(len(x), np.int64)
-    return _pair_table("pair", z, b[x], d[x], b[y], d[y], z)
+    return _pair_rows(b[x], d[x], b[y], d[y])
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -368,7 +403,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     found = saved(sent.where("kind = 'links'").select("a", "b").mapInArrow(_unpack_links, LINKS))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        asked = saved(pairs.select("b1", "d1", "b2", "d2").distinct().groupBy("b1", "b2").applyInArrow(_ask, ROWS))
+        asked = saved(pairs.select("b1", "b2", "a", "b").groupBy("b1", "b2").applyInArrow(_ask, ROWS))
         texts = blocks.cogroup(asked.where("kind = 'send'").unionByName(members).groupBy("block")).applyInArrow(_send_texts, ROWS)
         out = saved(blocks.cogroup(texts.unionByName(asked.where("kind = 'check'")).unionByName(members).groupBy("block")).applyInArrow(_verify, LINKS))
         forget(spark)
@@ -384,16 +419,18 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         if rest.limit(1).count():
             found = found.unionByName(verified(rest))
 
-    def holders(table: pa.Table, answers: pa.Table) -> pa.Table:
-        holder, ids, n, low = _holders(answers), [], [], []
-        if table.num_rows:
-            for _, d, s in Docs(dealt(table)).sets():
+    def holders(answers: pa.Table) -> pa.Table:
+        holder, ids, sizes, low = _holders(answers), [], [], []
+        for row in answers.filter(pa.array([k == "docs" for k in answers.column("kind").to_pylist()])).to_pylist():
+            key = map(tuple, np.frombuffer(row["d"], np.uint64).reshape(-1, 2).tolist())
+            for d, known, n, k in zip(*(unpack(row[c]).tolist() for c in "abc"), key, strict=True):
+                d = d if known else None
                 ids.append(d)
-                n.append(len(s))
-                low.append(holder.get(set_hash(s), d) if d is not None and len(s) else d)
-        return pa.table({"id": pa.array(ids, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "holder": pa.array(low, pa.int64())})
+                sizes.append(n)
+                low.append(holder.get(k, d) if known and n else d)
+        return pa.table({"id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "holder": pa.array(low, pa.int64())})
 
-    return found, blocks.cogroup(classes.groupBy("block")).applyInArrow(holders, "id long, n_shingles long, holder long")
+    return found, met.where("kind IN ('class', 'docs')").groupBy("block").applyInArrow(holders, "id long, n_shingles long, holder long")
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
