@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Evidence (fixed values): ports of 25 points, and payload beginnings with theirs.
 PORT_HINTS = {"HTTP": (80, 8080, 8000), "TLS": (443, 8443), "SSH": (22,), "FTP": (21,), "SMTP": (25, 587, 465), "SMB": (445, 139)}
@@ -113,12 +115,12 @@ def dns_fields(payloads) -> list[dict]:
 
 def dns_inspect(df: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Adds ``dns``: the fields of each payload (a byte walk, so in Arrow batches)."""
-    import pandas as pd
+    kind = T.StructType([T.StructField(n, t) for n, t in (("status", T.StringType()), ("id", T.IntegerType()), ("response", T.BooleanType()), ("questions", T.IntegerType()), ("answers", T.IntegerType()), ("rcode", T.IntegerType()), ("qname", T.StringType()), ("qtype", T.IntegerType()))])
 
-    @F.pandas_udf("status STRING, id INT, response BOOLEAN, questions INT, answers INT, rcode INT, qname STRING, qtype INT")
-    def read(p: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dns_fields(p))
+    def read(payloads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dns_fields(payloads), columns=kind.names).astype({"id": "Int32", "questions": "Int32", "answers": "Int32", "rcode": "Int32", "qtype": "Int32"})
 
+    read = F.pandas_udf(read, kind)
     return df.withColumn("dns", read(F.col(payload_col)))
 
 
