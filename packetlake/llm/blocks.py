@@ -49,8 +49,10 @@ def rows_table(rows: list[tuple]) -> pa.Table:
 def by_part(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """A stable order by partition, and (partition, from, to) of its stretches."""
     order = np.argsort(part, kind="stable")
+    if not len(part):
+        return order, []
     p = part[order]
-    starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
     return order, list(zip(p[starts].tolist(), starts.tolist(), np.r_[starts[1:], len(p)].tolist(), strict=True))
 
 
