@@ -267,8 +267,8 @@ def match(packets: DataFrame, rules: list[dict], text: Column | None = None, mos
 def match_many(packets: DataFrame, rules: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
     """Rules as a table, for sets too large for one expression: an equi-join on the protocol with the ports and contents as residual condition.
 
-    The rules are broadcast if they are at most ``broadcast_rows``; otherwise the
-    join is shuffled by protocol and the rule's lowest port block.
+    The rules are broadcast if they are at most ``broadcast_rows``; beyond it the
+    planner shuffles both sides by protocol and splits skewed ones.
     """
     text = latin(F.col("payload"))
     family = F.when(F.col("r.protocol") == "IP", F.lit(list(IP_FAMILY))).otherwise(F.array("r.protocol"))

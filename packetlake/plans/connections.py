@@ -29,9 +29,13 @@ CONN = f"""
 _CONN_COLUMNS = ["client_ip", "client_port", "server_ip", "service_port", "packet_id", "first_us", "last_us", "closed_us", "syn", "c_packets", "s_packets", "c_bytes", "s_bytes", "c_ssh", "s_ssh", "s_220", "pass_us", "refused_us", "web", "raw", "shell", "strong"]
 
 
-@query(f"WITH {CONN} SELECT {', '.join(_CONN_COLUMNS)} FROM conn")
+#: -1 where there was none.
+_TIMES = ("closed_us", "pass_us", "refused_us")
+
+
+@query(f"WITH {CONN} SELECT {', '.join(f'coalesce({c}, -1) AS {c}' if c in _TIMES else c for c in _CONN_COLUMNS)} FROM conn")
 def connection_summary(spark, sf_dir):
-    return S.connections(segments(spark, sf_dir)).select(*_CONN_COLUMNS)
+    return S.connections(segments(spark, sf_dir)).select(*(F.coalesce(F.col(c), F.lit(-1)).cast("bigint").alias(c) if c in _TIMES else c for c in _CONN_COLUMNS))
 
 
 _BOTH = "SELECT packet_id, ts_us, length, tcp_flags, CASE WHEN packet_id % 3 = 0 THEN dst ELSE src END AS src_ip, CASE WHEN packet_id % 3 = 0 THEN dport ELSE sport END AS src_port, CASE WHEN packet_id % 3 = 0 THEN src ELSE dst END AS dst_ip, CASE WHEN packet_id % 3 = 0 THEN sport ELSE dport END AS dst_port, protocol FROM (SELECT packet_id, ts_us, length, tcp_flags, protocol, src_ip AS src, CAST(50000 + user_id % 7 AS INT) AS sport, '192.168.0.' || CAST(k % 4 AS {s}) AS dst, CAST(20 + k % 4 AS INT) AS dport FROM {p})"
