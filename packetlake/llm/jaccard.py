@@ -14,11 +14,12 @@ prefix, and linked documents share a shingle of both prefixes.
 3. The surviving pairs expand to their members, which are verified on their whole
    sets: the texts of one side travel to the block of the other, each text once
    to a block.
-4. Where more than FEW groups share a shingle, first only the pairs with the
-   first REPS of them are verified, and a block leaves out pairs that its own
-   links connect already. What then isn't in one component is paired completely
-   (by size), across components only, so no link between components is lost
-   while a group of thousands of copies costs a few checks for each.
+4. Where more than FEW groups share a shingle (a crowd), first only the pairs
+   with the first REPS of them are verified, and a block leaves out pairs that
+   its own links connect already. A crowd that then still spans several
+   components is paired completely (by size), across components only, so no link
+   between components is lost while a group of copies costs a few checks for
+   each.
 
 Null and empty texts, and rows with a null id, have no set and link with nothing
 (their component is their own id). Texts of one to four words have one shingle,
@@ -46,9 +47,10 @@ from .durable import forget, saved
 SHINGLE = 5
 #: Links share at least NUMERATOR / DENOMINATOR of the union.
 NUMERATOR, DENOMINATOR = 3, 4
-SKETCH_BITS, SKETCH_CHUNKS = 20, 16
+#: The sketch has a counter for about SHARE shingles, 2**26 (64 MB) at most, in so many chunks.
+SHARE, SKETCH_MOST, SKETCH_CHUNKS = 16, 26, 16
 #: Groups that share a shingle are all paired up to so many; beyond it each is first paired with REPS of them.
-FEW, REPS = 4, 8
+FEW, REPS = 4, 2
 BLOCK_CHARS = 8_000_000
 #: Sketch rows go to partitions below zero, so they meet no other kind.
 LINKS = "a long, b long"
@@ -109,18 +111,18 @@ def _block(table: pa.Table) -> int:
     return table.column("block")[0].as_py()
 
 
-def _send_sets(parts: int):
+def _send_sets(parts: int, bits: int):
     """Class keys of a block's documents, and its shingle counts."""
 
     def run(table: pa.Table) -> pa.Table:
         block, best, own = _block(table), {}, []
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        counters = []
         for _, d, s in Docs(dealt(table)).sets():
             k = set_hash(s) if len(s) else (0, 0)
             own.append((0 if d is None else d, d is not None, len(s), *k))
             if d is not None and len(s):
                 best[d] = min(best.get(d, k), k)
-                np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                counters.append((s >> np.uint64(64 - bits)).astype(np.int64))
         low: dict[tuple[int, int], int] = {}
         for d, k in best.items():
             low[k] = min(low.get(k, d), d)
@@ -130,20 +132,24 @@ def _send_sets(parts: int):
         rows = [(block, p, "class", key[order[i:j]].tobytes(), pack(ids[order[i:j]])) for p, i, j in runs]
         ids, known, n, one, two = zip(*own, strict=True)
         rows.append((block, block, "docs", *(pack(np.array(x, np.int64)) for x in (ids, known, n)), np.array([one, two], np.uint64).T.tobytes()))
-        size = len(sketch) // SKETCH_CHUNKS
-        rows += [(block, -1 - c, "sketch", pack(sketch[c * size : (c + 1) * size])) for c in range(SKETCH_CHUNKS)]
+        at, many = np.unique(np.concatenate(counters) if counters else np.zeros(0, np.int64), return_counts=True)
+        cut = np.searchsorted(at, np.arange(SKETCH_CHUNKS + 1) * ((1 << bits) // SKETCH_CHUNKS))
+        rows += [(block, -1 - c, "sketch", pack(np.diff(at[i:j], prepend=c * ((1 << bits) // SKETCH_CHUNKS))), pack(many[i:j])) for c, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
         return rows_table(rows)
 
     return run
 
 
-def _meet_sets(table: pa.Table) -> pa.Table:
+def _meet_sets(bits: int):
+    return lambda table: _met_sets(table, bits)
+
+
+def _met_sets(table: pa.Table, bits: int) -> pa.Table:
     part = table.column("part")[0].as_py()
-    a = table.column("a").to_pylist()
     if part < 0:
-        total = 0
-        for x in a:
-            total = total + unpack(x)
+        total = np.zeros((1 << bits) // SKETCH_CHUNKS, np.int64)
+        for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
+            total[np.cumsum(unpack(a))] += unpack(b)
         # only the order of magnitude counts
         return rows_table([(-1, part, "sketch", np.ceil(np.log2(total + 1) * 4).astype(np.uint8).tobytes())])
     kind = table.column("kind").to_pylist()
@@ -172,7 +178,7 @@ def _holders(answers: pa.Table) -> dict[tuple[int, int], int]:
     return out
 
 
-def _send_prefixes(levels: np.ndarray, parts: int):
+def _send_prefixes(levels: np.ndarray, parts: int, bits: int):
     """Prefix shingles of the groups of a block's classes, and links and members inside groups."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -186,7 +192,7 @@ def _send_prefixes(levels: np.ndarray, parts: int):
             if d is None or not len(s) or (k := set_hash(s)) in done or holder.get(k) != d:
                 continue
             done.add(k)
-            lv = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            lv = levels[(s >> np.uint64(64 - bits)).astype(np.int64)]
             pre = s[np.argsort(lv, kind="stable")[: prefix_size(len(s))]]
             g = (len(s), *set_hash(pre))
             groups.setdefault(g, []).append((d, s))
@@ -261,26 +267,31 @@ def _meet_prefixes(table: pa.Table) -> pa.Table:
     tok, ids, size, pos, block = tok[order], ids[order], size[order], pos[order], block[order]
     start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
     n = np.diff(np.r_[start, len(tok)])
-    crowd = start[n > FEW]
     left, right = [], []
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        ok = _fits(size[a], pos[a], size[b], pos[b])
+        left.append(a[ok])
+        right.append(b[ok])
+
     for k in range(2, FEW + 1):
         s = start[n == k]
         for i in range(k):
             for j in range(i):
-                left.append(s + j)
-                right.append(s + i)
-    crowd_n = n[n > FEW]
+                add(s + j, s + i)
+    crowd, crowd_n = start[n > FEW], n[n > FEW]
     for r in range(REPS):
         some = crowd_n > r + 1
         at, rest = crowd[some], crowd_n[some] - r - 1
-        left.append(np.repeat(at + r, rest))
-        right.append(np.repeat(at + r, rest) + 1 + np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest))
+        add(np.repeat(at + r, rest), np.repeat(at + r, rest) + 1 + np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest))
     a, b = np.concatenate(left), np.concatenate(right)
-    ok = _fits(size[a], pos[a], size[b], pos[b])
-    a, b = a[ok], b[ok]
     _, one = np.unique(mix(ids[a].astype(np.uint64)) * np.uint64(3) + mix(ids[b].astype(np.uint64) + np.uint64(1)), return_index=True)
     a, b = a[one], b[one]
-    pairs = _pair_rows(block[a], ids[a], block[b], ids[b])
+    # a row for a pair here (few meet in a partition), with the second group in the place of the size
+    n = len(a)
+    pairs = pa.table({
+        "kind": pa.array(["pair"] * n, pa.string()), "b1": pa.array(block[a]), "b2": pa.array(block[b]), "a": pa.nulls(n, pa.binary()), "b": pa.nulls(n, pa.binary()), "run": pa.array(np.zeros(n, np.int64)), "d1": pa.array(ids[a]), "size": pa.array(ids[b]),
+    })
     # crowds with the same members are one
     seen, rows = set(), []
     for s, k in zip(crowd.tolist(), crowd_n.tolist(), strict=True):
@@ -288,14 +299,18 @@ def _meet_prefixes(table: pa.Table) -> pa.Table:
         if key not in seen:
             seen.add(key)
             run = key - (1 << 64) if key >= 1 << 63 else key
-            rows += [("crowd", x, 0, b"", b"", run, y, z) for x, y, z in zip(block[s : s + k].tolist(), ids[s : s + k].tolist(), size[s : s + k].tolist(), strict=True)]
+            rows.append(("crowd", 0, 0, pack(ids[s : s + k]), pack(size[s : s + k]), run, 0, 0))
     return pa.concat_tables([pairs, _pairs(rows)])
 
 
 def _ask(table: pa.Table) -> pa.Table:
     """Pairs of two blocks, packed, for both of them."""
     b1, b2 = table.column("b1")[0].as_py(), table.column("b2")[0].as_py()
-    d1, d2 = (np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in "ab")
+    packed = table.column("a").is_valid().to_numpy()
+    d1, d2 = (
+        np.concatenate([table.column(one).to_numpy()[~packed], *(unpack(x) for x in table.column(many).to_pylist() if x is not None)])
+        for one, many in (("d1", "a"), ("size", "b"))
+    )
     one = np.unique(np.stack([d1, d2], 1), axis=0)
     d1, d2 = one[:, 0], one[:, 1]
     return rows_table([(b1, b2, "send", pack(np.unique(d1))), (b2, b1, "check", pack(d1), pack(d2))])
@@ -317,9 +332,11 @@ def _send_texts(table: pa.Table, asked: pa.Table) -> pa.Table:
     group, rows = _members(asked), []
     wanted = [(p, unpack(a).tolist()) for p, k, a in zip(*(asked.column(x).to_pylist() for x in ("part", "kind", "a")), strict=True) if k == "send"]
     texts = Docs(dealt(table)).find({d for _, gs in wanted for g in gs for d in group.get(g, [g])})
+    coded = {d: t.encode("utf-8", "surrogatepass") for d, t in texts.items()}
+    del texts
     for to, gs in wanted:
         ids = [(g, d) for g in gs for d in group.get(g, [g])]
-        raw = [texts[d].encode("utf-8", "surrogatepass") for _, d in ids]
+        raw = [coded[d] for _, d in ids]
         m = np.array(ids, np.int64)
         blob = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
         rows.append((to, _block(table), "texts", pack(m[:, 0]), pack(m[:, 1]), pack(np.array([len(x) for x in raw], np.int64)), blob))
@@ -369,55 +386,84 @@ def _unpack_links(batches):
             yield pa.RecordBatch.from_arrays([pa.array(unpack(a), pa.int64()), pa.array(unpack(c), pa.int64())], names=["a", "b"])
 
 
+def _members_of(batches):
+    """The members of packed crowds, a row each."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        for run, a, c in zip(t.column("run").to_pylist(), t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
+            ids = unpack(a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), run)), pa.array(ids), pa.array(unpack(c))], names=["run", "d1", "size"])
+
+
 def _across(table: pa.Table) -> pa.Table:
     """All pairs of a crowd's groups that are in different components and fit by size; the side of the rarer component travels."""
-    d, b, n, comp = (table.column(x).to_numpy() for x in ("d1", "b1", "size", "component"))
+    d, b, n, comp = (table.column(x).to_numpy() for x in ("d1", "block", "size", "component"))
     _, which, many = np.unique(comp, return_inverse=True, return_counts=True)
-    order = np.lexsort((d, which.reshape(-1), many[which.reshape(-1)]))
-    d, b, n, which = d[order], b[order], n[order], which.reshape(-1)[order]
-    left, right = [], []
+    which = which.reshape(-1)
+    order = np.lexsort((d, which, many[which]))
+    d, b, n, which = d[order], b[order], n[order], which[order]
+    out, left, right, held = [_pairs([])], [], [], 0
+
+    def flush() -> None:
+        if left:
+            x, y = np.concatenate(left), np.concatenate(right)
+            out.append(_pair_rows(b[x], d[x], b[y], d[y]))
+            left.clear()
+            right.clear()
+
     for i in range(len(d) - 1):
         j = i + 1 + np.flatnonzero((which[i + 1 :] != which[i]) & (DENOMINATOR * np.minimum(n[i], n[i + 1 :]) >= NUMERATOR * np.maximum(n[i], n[i + 1 :])))
         left.append(np.full(len(j), i))
         right.append(j)
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-    return _pair_rows(b[x], d[x], b[y], d[y])
+        held += len(j)
+        if held > 300_000:
+            flush()
+            held = 0
+    flush()
+    return pa.concat_tables(out)
+
+
+def _between(found: DataFrame, crowds: DataFrame, parts: int, verified) -> DataFrame:
+    """Links between components that share a crowd (rows run, d1, size)."""
+    comp = components(found).withColumnRenamed("id", "d1")
+    rows = crowds.join(comp, "d1", "left").withColumns({"component": F.coalesce("component", "d1"), "block": F.pmod(F.xxhash64("d1"), F.lit(parts))})
+    mixed = rows.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("run")
+    pairs = saved(rows.join(mixed, "run").groupBy("run").applyInArrow(_across, PAIRS))
+    return verified(pairs) if pairs.limit(1).count() else found.sparkSession.createDataFrame([], LINKS)
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect all linked ids, and the holder of each id's class: (id, n_shingles, holder) for every row."""
     parts = count(docs, text_col, block_chars)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = deal(rows, parts, F.coalesce("id", F.xxhash64("text"))).groupBy("block")
+    blocks = saved(deal(rows, parts, F.coalesce("id", F.xxhash64("text")))).groupBy("block")
     spark = docs.sparkSession
-    met = saved(blocks.applyInArrow(_send_sets(parts), ROWS).groupBy("part").applyInArrow(_meet_sets, ROWS))
+    bits = min(SKETCH_MOST, max(10, (parts * block_chars // (6 * SHARE)).bit_length()))
+    met = saved(blocks.applyInArrow(_send_sets(parts, bits), ROWS).groupBy("part").applyInArrow(_meet_sets(bits), ROWS))
     forget(spark)
-    sketch = {r["part"]: r["a"] for r in met.where("kind = 'sketch'").select("part", "a").collect()}  # 2**20 bytes in all
-    levels = np.concatenate([np.frombuffer(bytes(sketch[-1 - c]), np.uint8) for c in range(SKETCH_CHUNKS)]) if sketch else np.zeros(1 << SKETCH_BITS, np.uint8)
+    levels = np.zeros(1 << bits, np.uint8)
+    size = len(levels) // SKETCH_CHUNKS
+    for r in met.where("kind = 'sketch'").select("part", "a").toLocalIterator():  # 2**bits bytes in all
+        levels[(-1 - r["part"]) * size : -r["part"] * size] = np.frombuffer(bytes(r["a"]), np.uint8)
     classes = met.where("kind = 'class'")
 
-    sent = saved(blocks.cogroup(classes.groupBy("block")).applyInArrow(_send_prefixes(levels, parts), ROWS))
+    sent = saved(blocks.cogroup(classes.groupBy("block")).applyInArrow(_send_prefixes(levels, parts, bits), ROWS))
     forget(spark)
     pairs = saved(sent.where("kind = 'prefix'").groupBy("part").applyInArrow(_meet_prefixes, PAIRS))
     members = sent.where("kind = 'members'")
     found = saved(sent.where("kind = 'links'").select("a", "b").mapInArrow(_unpack_links, LINKS))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        asked = saved(pairs.select("b1", "b2", "a", "b").groupBy("b1", "b2").applyInArrow(_ask, ROWS))
+        asked = saved(pairs.select("b1", "b2", "a", "b", "d1", "size").groupBy("b1", "b2").applyInArrow(_ask, ROWS))
         texts = blocks.cogroup(asked.where("kind = 'send'").unionByName(members).groupBy("block")).applyInArrow(_send_texts, ROWS)
         out = saved(blocks.cogroup(texts.unionByName(asked.where("kind = 'check'")).unionByName(members).groupBy("block")).applyInArrow(_verify, LINKS))
         forget(spark)
         return out
 
-    found = saved(found.unionByName(verified(pairs.where("kind = 'pair'"))))
-    crowds = pairs.where("kind = 'crowd'").select("run", "b1", "d1", "size").distinct()
+    found = saved(found.unionByName(verified(pairs.where("kind = 'pair'").distinct())))
+    crowds = pairs.where("kind = 'crowd'").select("run", "a", "b").dropDuplicates(["run"])
     if crowds.limit(1).count():
-        comp = components(found)
-        crowds = crowds.join(comp.withColumnRenamed("id", "d1"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))
-        mixed = crowds.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("run")
-        rest = saved(crowds.join(mixed, "run").groupBy("run").applyInArrow(_across, PAIRS))
-        if rest.limit(1).count():
-            found = found.unionByName(verified(rest))
+        found = found.unionByName(_between(found, crowds.mapInArrow(_members_of, "run long, d1 long, size long"), parts, verified))
 
     def holders(answers: pa.Table) -> pa.Table:
         holder, ids, sizes, low = _holders(answers), [], [], []
