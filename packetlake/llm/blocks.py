@@ -8,6 +8,7 @@ and a partition, holding what all words of the block have to ask there.
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -20,18 +21,22 @@ ROWS = "block long, part long, kind string, a binary, b binary, c binary, d bina
 _FIELDS = ("a", "b", "c", "d", "e", "f")
 
 
+#: One of each for a worker: making them anew for every small array costs time and splinters memory.
+_SQUEEZE, _UNSQUEEZE = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(x: np.ndarray) -> bytes:
     """Compressed; whole numbers in the smallest type that holds them all, named by the first byte."""
     if x.dtype.kind in "iu" and (not x.size or int(x.min()) >= 0):
         top = int(x.max()) if x.size else 0
         kind = next(k for k in ("u1", "u2", "u4", "u8") if top < 1 << 8 * int(k[1]))
-        return kind[1].encode() + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
-    return (b"i" if x.dtype.kind in "iu" else b"f") + zstandard.ZstdCompressor(level=1).compress(x.astype("i8" if x.dtype.kind in "iu" else "f8").tobytes())
+        return kind[1].encode() + _SQUEEZE.compress(x.astype(kind).tobytes())
+    return (b"i" if x.dtype.kind in "iu" else b"f") + _SQUEEZE.compress(x.astype("i8" if x.dtype.kind in "iu" else "f8").tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
     kind = chr(b[0])
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), {"f": "f8", "i": "i8"}.get(kind, f"u{kind}"))
+    x = np.frombuffer(_UNSQUEEZE.decompress(b[1:]), {"f": "f8", "i": "i8"}.get(kind, f"u{kind}"))
     return x if kind == "f" else x.astype(np.int64)
 
 
@@ -71,8 +76,22 @@ def _deal(batches):
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "rows"])
 
 
+def tidy() -> None:
+    """Gives back memory that the last block's arrays and objects left with the allocators; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
+
 def dealt(table: pa.Table) -> pa.Table:
     """The documents of a block."""
+    tidy()
     return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("rows").to_pylist()])
 
 

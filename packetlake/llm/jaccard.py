@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .batches import gram_hashes, hash_words, lower_words, mix, multipliers
-from .blocks import ROWS, by_part, count, deal, dealt, keys, pack, rows_table, unpack
+from .blocks import ROWS, by_part, count, deal, dealt, keys, pack, rows_table, tidy, unpack
 from .components import components
 from .durable import forget, saved
 
@@ -397,6 +397,8 @@ def _members_of(batches):
 
 def _across(table: pa.Table) -> pa.Table:
     """All pairs of a crowd's groups that are in different components and fit by size; the side of the rarer component travels."""
+    if table.num_rows > 500:
+        tidy()
     d, b, n, comp = (table.column(x).to_numpy() for x in ("d1", "block", "size", "component"))
     _, which, many = np.unique(comp, return_inverse=True, return_counts=True)
     which = which.reshape(-1)
@@ -428,7 +430,7 @@ def _between(found: DataFrame, crowds: DataFrame, parts: int, verified) -> DataF
     comp = components(found).withColumnRenamed("id", "d1")
     rows = crowds.join(comp, "d1", "left").withColumns({"component": F.coalesce("component", "d1"), "block": F.pmod(F.xxhash64("d1"), F.lit(parts))})
     mixed = rows.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("run")
-    pairs = saved(rows.join(mixed, "run").groupBy("run").applyInArrow(_across, PAIRS))
+    pairs = saved(rows.join(mixed, "run").repartition(4 * parts, "run").groupBy("run").applyInArrow(_across, PAIRS))
     return verified(pairs) if pairs.limit(1).count() else found.sparkSession.createDataFrame([], LINKS)
 
 

@@ -146,7 +146,7 @@ TOKEN = re.compile(r"[^\W_]+|[^\s]")
 CUES = frozenset({"at", "dot", "com", "org", "net", "mail", "tel", "phone", "card"})
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(50_000)
 def shape(token: str) -> str:
     """Word shape: a cue word itself; else runs of digits with their length, of letters by case, marks as they are."""
     low = token.lower()

@@ -32,7 +32,7 @@ MARKS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 CHUNK = re.compile(rf"{META}*[^{META}{MARKS}]*[^\W\d_\xb2\xb3\xb9\xbc-\xbe](?=[{META}{MARKS}]|\Z)|{META}*[^{META}]+|{META}+")
 CROSSING = re.compile(rf"[^{META}]{META}|[^\W\d_\xb2\xb3\xb9\xbc-\xbe][{MARKS}]")
 #: Remembered chunks at most; others are encoded once a batch.
-CACHE = 400_000
+CACHE = 300_000
 #: New chunks are matched in groups of about so many characters.
 GROUP_CHARS = 400_000
 
