@@ -16,10 +16,10 @@ prefix, and linked documents share a shingle of both prefixes.
    to a block.
 4. Where more than FEW groups share a shingle (a crowd), first only the pairs
    with the first REPS of them are verified, and a block leaves out pairs that
-   its own links connect already. A crowd that then still spans several
-   components is paired completely (by size), across components only, so no link
-   between components is lost while a group of copies costs a few checks for
-   each.
+   its own links connect already. A crowd whose members then still span several
+   components is paired completely (by size), but for groups that are wholly in
+   one and the same component, so no link between components is lost while a
+   group of copies costs a few checks for each.
 
 Null and empty texts, and rows with a null id, have no set and link with nothing
 (their component is their own id). Texts of one to four words have one shingle,
@@ -396,12 +396,16 @@ def _members_of(batches):
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """All pairs of a crowd's groups that are in different components and fit by size; the side of the rarer component travels."""
+    """All pairs of a crowd's groups that have members in different components and fit by size; the side of the rarer component travels."""
     if table.num_rows > 500:
         tidy()
-    d, b, n, comp = (table.column(x).to_numpy() for x in ("d1", "block", "size", "component"))
-    _, which, many = np.unique(comp, return_inverse=True, return_counts=True)
+    d, b, n, low, high = (table.column(x).to_numpy() for x in ("d1", "block", "size", "low", "high"))
+    _, which, many = np.unique(low, return_inverse=True, return_counts=True)
     which = which.reshape(-1)
+    # a group of several components differs from every other group
+    several = np.flatnonzero(low != high)
+    which[several] = len(many) + np.arange(len(several))
+    many = np.r_[many, np.ones(len(several), np.int64)]
     order = np.lexsort((d, which, many[which]))
     d, b, n, which = d[order], b[order], n[order], which[order]
     out, left, right, held = [_pairs([])], [], [], 0
@@ -425,11 +429,15 @@ def _across(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _between(found: DataFrame, crowds: DataFrame, parts: int, verified) -> DataFrame:
-    """Links between components that share a crowd (rows run, d1, size)."""
-    comp = components(found).withColumnRenamed("id", "d1")
-    rows = crowds.join(comp, "d1", "left").withColumns({"component": F.coalesce("component", "d1"), "block": F.pmod(F.xxhash64("d1"), F.lit(parts))})
-    mixed = rows.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("run")
+def _between(found: DataFrame, crowds: DataFrame, members: DataFrame, parts: int, verified) -> DataFrame:
+    """Links between components that share a crowd (rows run, d1, size), by the components of all members (d1, id) of its groups."""
+    comp = components(found)
+    own = F.coalesce("component", "id")
+    spread = members.join(comp, "id", "left").groupBy("d1").agg(F.min(own).alias("x"), F.max(own).alias("y"))
+    first = F.coalesce("component", "d1")
+    rows = crowds.join(comp.withColumnRenamed("id", "d1"), "d1", "left").join(spread, "d1", "left")
+    rows = rows.select("run", "d1", "size", F.least(first, "x").alias("low"), F.greatest(first, "y").alias("high"), F.pmod(F.xxhash64("d1"), F.lit(parts)).alias("block"))
+    mixed = rows.groupBy("run").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("run")
     pairs = saved(rows.join(mixed, "run").repartition(4 * parts, "run").groupBy("run").applyInArrow(_across, PAIRS))
     return verified(pairs) if pairs.limit(1).count() else found.sparkSession.createDataFrame([], LINKS)
 
@@ -465,7 +473,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     found = saved(found.unionByName(verified(pairs.where("kind = 'pair'").distinct())))
     crowds = pairs.where("kind = 'crowd'").select("run", "a", "b").dropDuplicates(["run"])
     if crowds.limit(1).count():
-        found = found.unionByName(_between(found, crowds.mapInArrow(_members_of, "run long, d1 long, size long"), parts, verified))
+        inside = members.select("a", "b").mapInArrow(_unpack_links, LINKS).toDF("d1", "id")
+        found = found.unionByName(_between(found, crowds.mapInArrow(_members_of, "run long, d1 long, size long"), inside, parts, verified))
 
     def holders(answers: pa.Table) -> pa.Table:
         holder, ids, sizes, low = _holders(answers), [], [], []

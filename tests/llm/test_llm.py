@@ -277,6 +277,24 @@ def test_jaccard(spark, monkeypatch, few, reps, chars):
     assert got == jaccard_components(docs)
 
 
+def test_jaccard_hidden_members_of_a_crowd(spark):
+    """Groups R+X / R+Y: the R+Y documents link with each other only, and neither hold their group's first id nor are in the first REPS groups."""
+    ids = [x["id"] for x in spark.range(400).where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0).collect()]  # of one block
+    r, x, y = ([f"{c}{i}" for i in range(n)] for c, n in (("r", 14), ("x", 27), ("y", 27)))
+    docs, groups = [], 4 + jaccard.REPS
+    for i in range(groups):
+        own = [f"own{i}_{k}" for k in range(3)]
+        docs.append((ids[i], " ".join(own + r + x)))
+        if i >= jaccard.REPS:
+            docs.append((ids[groups + i], " ".join(own + r + y)))
+    # others make X and Y frequent, so that prefixes are of R
+    docs += [(ids[50 + i], " ".join(r[-4:] + x + r[-4:] + y + [f"z{i}_{k}" for k in range(80)])) for i in range(24)]
+    want = jaccard_components(docs)
+    assert groups > jaccard.FEW and len({c for _, c in want.values()}) == 2 + 24
+    got = {z["doc_id"]: (z["n_shingles"], z["component_id"]) for z in jaccard.joined(documents(spark, docs)).collect()}
+    assert got == want
+
+
 def test_jaccard_odd(spark, odd):
     got = jaccard.joined(odd).collect()
     assert len(got) == odd.count() and all(x["component_id"] == x["doc_id"] for x in got)
