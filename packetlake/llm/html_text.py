@@ -9,8 +9,11 @@ its characters per tag, adjusted for links:
 count as one). The densities of its children add up, and the element with the
 largest sum marks the article. The body's own density is the threshold: the mark
 moves up its path towards the body as long as the next element is as dense, so
-short headings and paragraphs around a long one come along, and further article
-or main elements as dense count as parts.
+short headings and paragraphs around a long one come along. Every other subtree
+or stretch of inline content that is as dense, wherever it stands, counts as a
+part, and so does a heading whose section holds a part. As the density above
+grows with the size of a subtree, one with the body's characters outside links
+for each tag is dense as well.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are known by element, role or the words of class and id; they
@@ -50,10 +53,11 @@ BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail footer masthead topbar toolbar comment comments commentlist disqus respond replies reply share sharing social related recommended newsletter subscribe subscription signup login widget pagination pager skip copyright".split()
 )
 KEPT = frozenset({"html", "body", "article", "main"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "boiler", "density", "total", "c", "t", "lc", "lt")
+    __slots__ = ("tag", "kids", "parent", "boiler", "density", "total", "c", "t", "lc", "lt", "hc", "deep")
 
     def __init__(self, tag: str, parent: Node | None, boiler: bool):
         self.tag, self.parent, self.boiler, self.kids = tag, parent, boiler, []
@@ -152,7 +156,9 @@ def main_text(page: str | None) -> str:
     order = _order(parse(page))
     body = next((x for x in order if x.tag == "body"), order[0])
     for x in reversed(order):
-        x.c = x.t = x.lc = x.lt = 0
+        x.c = x.t = x.lc = x.lt = x.hc = 0
+        # whether it is or holds a block
+        x.deep = x.tag in BLOCK or any(k.deep for k in x.kids if isinstance(k, Node) and not k.boiler)
         if x.boiler:
             continue
         for k in x.kids:
@@ -163,8 +169,11 @@ def main_text(page: str | None) -> str:
                 x.t += k.t + 1
                 x.lc += k.lc
                 x.lt += k.lt + (k.tag == "a")
+                x.hc += k.hc
         if x.tag == "a":
             x.lc = x.c
+        if x.tag in HEADINGS:
+            x.hc = x.c
     if not body.c:
         return ""
     share = body.lc / body.c
@@ -183,18 +192,83 @@ def main_text(page: str | None) -> str:
     while up is not None:
         line.add(id(up))
         up = up.parent
-    same = best.tag in ("article", "main")
-    roots = [x for x in order if x is best or (same and not x.boiler and x.tag == best.tag and id(x) not in line and x.density >= body.density)]
     blocks: list[str] = []
-    done: set[int] = set()
-    for r in roots:
-        if id(r) not in done:
-            _blocks(r, blocks, done)
+    for part in _parts(order[0], best, line, body, share):
+        _blocks(part, blocks)
     return "\n\n".join(blocks)
 
 
-def _blocks(root: Node, blocks: list[str], done: set[int]) -> None:
-    """The blocks of a subtree, in page order."""
+def _units(x: Node, line: set[int]) -> list[list]:
+    """The children of a node: each block alone, and the stretches of inline content between blocks."""
+    out: list[list] = []
+    inline = False
+    for k in x.kids:
+        block = isinstance(k, Node) and (k.deep or id(k) in line)
+        if block or not inline:
+            out.append([k])
+        else:
+            out[-1].append(k)
+        inline = not block
+    return out
+
+
+def _parts(root: Node, best: Node, line: set[int], body: Node, share: float) -> list[list]:
+    """What makes up the article, in page order: ``best``, all that is as dense as the body beside it, and the headings of these."""
+    plain = (body.c - body.lc) / max(1, body.t)
+    if best is root:
+        return [[root]]
+    units: dict[int, list[list]] = {}
+    taken: set[int] = set()  # by the id of a unit, or of a node that is looked into and holds some
+    todo, seen = [root], []
+    while todo:
+        x = todo.pop()
+        seen.append(x)
+        units[id(x)] = _units(x, line)
+        for u in units[id(x)]:
+            k = u[0]
+            if k is best:
+                taken.add(id(u))
+            elif isinstance(k, Node) and (k.deep or id(k) in line):
+                if k.boiler or not k.c:
+                    continue
+                if id(k) not in line and (k.density >= body.density or 0 < k.c - k.lc >= plain * max(1, k.t)):
+                    taken.add(id(u))
+                elif k.hc < k.c:
+                    todo.append(k)
+            else:
+                nodes = [k for k in u if isinstance(k, Node) and not k.boiler]
+                c = sum(len(k.strip()) for k in u if isinstance(k, str)) + sum(k.c for k in nodes)
+                t, lc, lt = sum(k.t + 1 for k in nodes), sum(k.lc for k in nodes), sum(k.lt + (k.tag == "a") for k in nodes)
+                if c and (_density(c, t, lc, lt, share) >= body.density or 0 < c - lc >= plain * max(1, t)):
+                    taken.add(id(u))
+    for x in reversed(seen):
+        # 2: a part follows, 1: a heading taken follows, 0: neither
+        follows = 0
+        for u in reversed(units[id(x)]):
+            k = u[0]
+            if id(u) in taken or id(k) in taken:
+                taken.add(id(x))
+                follows = 2
+            elif all(isinstance(k, str) and not k.strip() or isinstance(k, Node) and (k.boiler or not k.c) for k in u):
+                continue
+            elif isinstance(k, Node) and k.deep and k.hc == k.c:
+                if follows:
+                    taken.add(id(u))
+                    follows = 1
+            elif follows == 1:
+                follows = 0
+    out, todo = [], [[root]]
+    while todo:
+        u = todo.pop()
+        if id(u) in taken:
+            out.append(u)
+        elif id(u[0]) in units:
+            todo.extend(reversed(units[id(u[0])]))
+    return out
+
+
+def _blocks(part: list, blocks: list[str]) -> None:
+    """The blocks of subtrees and stretches of text that stand together, in page order."""
     line: list[str] = []
 
     def flush():
@@ -203,7 +277,7 @@ def _blocks(root: Node, blocks: list[str], done: set[int]) -> None:
                 blocks.append(text)
             line.clear()
 
-    todo: list = [root]
+    todo: list = part[::-1]
     while todo:
         x = todo.pop()
         if x is None:
@@ -211,7 +285,6 @@ def _blocks(root: Node, blocks: list[str], done: set[int]) -> None:
         elif isinstance(x, str):
             line.append(x)
         elif not x.boiler:
-            done.add(id(x))
             if x.tag == "br":
                 line.append(" ")
             elif x.tag in BLOCK:

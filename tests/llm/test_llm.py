@@ -232,6 +232,28 @@ def test_html_odd(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "<p>This paragraph is one of several that are all about as long as an article's paragraphs are.</p>"
+
+
+@pytest.mark.parametrize(
+    ("body", "lost"),
+    [
+        (f"<nav>menu</nav><h1>Title</h1><div class=post>{LONG * 5}</div><div class=post>{LONG * 3}</div><footer>foot</footer>", "menu foot"),
+        (f"<div class=head><h1>Title</h1></div><div>{LONG * 5}</div><ul><li><a href=x>other</a></li><li><a href=y>page</a></li></ul><div><div>{LONG * 3}</div></div>", "other page"),
+        (f"<h1>Title</h1><h2>Sub</h2><div class=post>{LONG * 5}</div><h2>Part</h2><section>{LONG * 2}</section><h2>Links</h2><ul><li><a href=x>other</a></li></ul>", "Links other"),
+        (f"<div class=post>{LONG * 5}</div>A stretch of <b>text</b> right in the body, which is about as long as one of the paragraphs in the post is.<div class=post>{LONG * 2}</div>", ""),
+    ],
+)
+def test_html_articles_in_pieces(body, lost):
+    """Pages without article or main: what is as dense as the article beside it, and the headings, stay."""
+    got = html_text.main_text(f"<html><head><title>t</title></head><body>{body}</body></html>")
+    whole = " ".join(re.sub("<[^>]*>", " ", body).split())
+    for w in lost.split():
+        assert w not in got.split()
+        whole = " ".join(x for x in whole.split() if x != w)
+    assert " ".join(got.split()) == whole
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "clash"), (1, "u", "<p>a</p>", "clash"), (None, None, None, None)], "page_id LONG, url STRING, html STRING, text STRING")
     assert sorted(x["text"] for x in html_text.extract(df).collect()) == ["", "a", "a"] and html_text.extract(df.limit(0)).count() == 0
