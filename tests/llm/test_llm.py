@@ -74,6 +74,18 @@ def test_pii_model_finds_held_out_examples():
     assert hit / said > 0.9 and hit / there > 0.9
 
 
+def test_pii_spelled_out_without_digits():
+    """Forms without a digit or an at sign are decoded as well; plain prose with the same marks and words stays."""
+    crf = pii.trained()
+    for before, span, after in (("write to ", "jane.doe [at] example.com", ""), ("mail ", "jane [at] example.org", ", please"), ("or ", "jane_doe (at) mail.example.net", " today")):
+        text = f"a line first\n{before}{span}{after}"
+        at = len("a line first\n") + len(before)
+        assert pii.all_spans(crf, [text, None, ""]) == ([[], [], []], [[(at, 0, at + len(span))], [], []])
+        assert pii.masked(text, pii.all_spans(crf, [text])[1][0]) == f"a line first\n{before}[email]{after}"
+    prose = ["clean text only", "meet me at example.com tomorrow", "look (at) the house", "he arrived at noon. then left", "at at at at at at", "she said (in short) no.", "file_name and other.name [see below]"]
+    assert pii.all_spans(crf, prose)[1] == [[] for _ in prose]
+
+
 def test_pii_viterbi_is_the_best_path():
     crf, r = pii.trained(), random.Random(5)
     for _ in range(5):
