@@ -2,56 +2,64 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STREAM_BYTES, STREAM_SEGMENTS = 64 << 20, 100_000
-
 
-def fold_stream(seqs: list[int], payloads: list[bytes], limit: int = STREAM_BYTES) -> tuple[bytes, list[str]]:
+def fold_stream(seqs: list[int], payloads: list[bytes]) -> tuple[bytes, list[str]]:
     """Contiguous bytes from the first sequence number on, and what became of each segment.
 
     Bytes seen first win. accepted: new bytes; retransmission: nothing new and
     equal; overlap: partly new and equal where it overlaps; conflicting_overlap:
-    differs from bytes seen before; ignored: empty, or beyond the limit.
+    differs from bytes seen before; ignored: empty.
     """
-    seen: dict[int, int] = {}
+    starts: list[int] = []  # of the stretches without gaps that all segments make
+    ends: list[int] = []
+    for s, e in sorted((s, s + len(p)) for s, p in zip(seqs, payloads, strict=True) if p):
+        if starts and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    data, there = ([bytearray(e - s) for s, e in zip(starts, ends, strict=True)] for _ in range(2))
     out = []
     for s, p in zip(seqs, payloads, strict=True):
-        if not p or len(seen) + len(p) > limit:
+        if not p:
             out.append("ignored")
             continue
-        old = [(i, seen[s + i]) for i in range(len(p)) if s + i in seen]
-        if any(p[i] != b for i, b in old):
+        k = bisect.bisect_right(starts, s) - 1
+        i, j = s - starts[k], s - starts[k] + len(p)
+        old, seen = data[k][i:j], there[k][i:j]
+        known = seen.count(1)
+        new = p if not known else bytes(old) if known == len(p) else bytes(a if w else b for a, b, w in zip(old, p, seen, strict=True))
+        if new != p:
             out.append("conflicting_overlap")
-        elif len(old) == len(p):
+        elif known == len(p):
             out.append("retransmission")
         else:
-            out.append("overlap" if old else "accepted")
-        for i, b in enumerate(p):
-            seen.setdefault(s + i, b)
-    data = bytearray()
-    if seen:
-        at = min(seen)
-        while at in seen:
-            data.append(seen[at])
-            at += 1
-    return bytes(data), out
+            out.append("overlap" if known else "accepted")
+        data[k][i:j] = new
+        there[k][i:j] = b"\1" * len(p)
+    return bytes(data[0]) if data else b"", out
 
 
 def tcp_streams(segments: DataFrame, keys: list[str], sequence: str = "tcp_sequence", payload: str = "payload") -> DataFrame:
     """One row for each direction of a flow: contiguous data, segments, retransmissions, overlaps and whether there are gaps.
 
-    An ordered fold, so a stream is one task's; streams are bounded by the limits of the fold.
+    An ordered fold, so a stream is one task's and has to fit in its memory; nothing of it is left out.
     """
     schema = ", ".join(f"`{k}` {segments.schema[k].dataType.simpleString()}" for k in keys)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("packet_id", kind="stable").head(STREAM_SEGMENTS)
-        data, what = fold_stream(pdf[sequence].tolist(), [bytes(x) if x is not None else b"" for x in pdf[payload]])
-        total = len({s + i for s, p in zip(pdf[sequence], pdf[payload], strict=True) if p is not None for i in range(len(p))})
-        row = {k: pdf[k].iloc[0] for k in keys} | {"data": data, "segments": len(pdf), "retransmissions": what.count("retransmission"), "overlaps": what.count("overlap") + what.count("conflicting_overlap"), "gaps": total > len(data)}
+        pdf = pdf.sort_values("packet_id", kind="stable")
+        seqs, payloads = pdf[sequence].tolist(), [bytes(x) if x is not None else b"" for x in pdf[payload]]
+        data, what = fold_stream(seqs, payloads)
+        full = [(s, s + len(p)) for s, p in zip(seqs, payloads, strict=True) if p]
+        gaps = bool(full) and max(e for _, e in full) > min(s for s, _ in full) + len(data)
+        row = {k: pdf[k].iloc[0] for k in keys} | {"data": data, "segments": len(pdf), "retransmissions": what.count("retransmission"), "overlaps": what.count("overlap") + what.count("conflicting_overlap"), "gaps": gaps}
         return pd.DataFrame([row])
 
     return segments.groupBy(*keys).applyInPandas(fold, f"{schema}, data BINARY, segments INT, retransmissions INT, overlaps INT, gaps BOOLEAN")

@@ -90,3 +90,20 @@ def test_fold_stream():
     assert (data, what) == (b"abcdefg", ["accepted", "accepted", "accepted", "retransmission", "overlap"])
     assert reassembly.fold_stream([0, 0, 5], [b"ab", b"xb", b""])[1] == ["accepted", "conflicting_overlap", "ignored"]
     assert reassembly.fold_stream([0, 5], [b"ab", b"x"])[0] == b"ab"
+
+
+def test_fold_stream_without_limits():
+    part = bytes(range(256)) * 4096  # 1 MiB
+    data, what = reassembly.fold_stream([i << 20 for i in range(65)], [part] * 65)
+    assert data == part * 65 and what == ["accepted"] * 65
+
+
+def test_stream_of_many_segments(spark):
+    """50,001 segments sent twice, as tcp_reassembly does, and a stream with a gap."""
+    n = 50_001
+    turns = spark.range(n).selectExpr("1 AS conv_id", "1000 + 5 * id AS tcp_sequence", "encode(lpad(id, 5, '0'), 'UTF-8') AS payload", "id")
+    rows = turns.selectExpr("conv_id", "tcp_sequence", "payload", "explode(array(xxhash64(id), xxhash64(id, 1))) AS packet_id")
+    rows = rows.union(spark.sql("SELECT 2, s, encode('ab', 'UTF-8'), s FROM VALUES (10L), (12L), (20L) AS t(s)"))
+    big, gap = sorted(reassembly.tcp_streams(rows, ["conv_id"]).collect())
+    assert (bytes(big["data"]), big["segments"], big["retransmissions"], big["overlaps"], big["gaps"]) == ("".join(f"{i:05}" for i in range(n)).encode(), 2 * n, n, 0, False)
+    assert (bytes(gap["data"]), gap["segments"], gap["gaps"]) == (b"abab", 3, True)
