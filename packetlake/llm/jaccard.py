@@ -9,23 +9,25 @@ prefix, and linked documents share a shingle of both prefixes.
 1. Documents with the same set are one class, held by the one with the smallest
    id. Links need only be found between classes.
 2. In each block, classes with the same prefix and size are one group. A group
-   is sent once for each shingle of its prefix, to the shingle's partition; group
-   pairs that meet there are filtered by size and by the places of the shingle.
+   is sent once for each shingle of its prefix, to the shingle's partition (a very
+   frequent shingle to several); group pairs that meet there are filtered by
+   size and by the places of the shingle: of the pair's shingles before the first
+   common one, none is common.
 3. The surviving pairs expand to their members, which are verified on their whole
    sets: the texts of one side travel to the block of the other, each text once
-   to a block.
+   to a block. A block leaves out pairs that its own links connect already.
 4. Where more than FEW groups share a shingle (a crowd), first only the pairs
-   with the first REPS of them are verified, and a block leaves out pairs that
-   its own links connect already. A crowd whose members then still span several
-   components is paired completely (by size), but for groups that are wholly in
-   one and the same component, so no link between components is lost while a
-   group of copies costs a few checks for each.
+   with the first REPS of them are verified. Then every member of a crowd that
+   isn't in the crowd's main component is verified with all members of other
+   components that pass the filter; components are those of the members, not of
+   their groups, so no link between components is lost. A group of copies costs
+   a few checks for each copy.
 
 Null and empty texts, and rows with a null id, have no set and link with nothing
 (their component is their own id). Texts of one to four words have one shingle,
 the whole of it. Repeated rows each give a row; if one id has several texts, the
 one whose set has the smallest hash stands for it in links. Empty tables give no
-rows; other columns are ignored.
+rows; other columns are ignored. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -35,14 +37,14 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .batches import gram_hashes, hash_words, lower_words, mix, multipliers
-from .blocks import ROWS, by_part, count, deal, dealt, keys, pack, rows_table, tidy, unpack
+from .blocks import ROWS, by_part, count, deal, dealt, keys, pack, rows_table, unpack
 from .components import components
-from .durable import forget, saved
+from .durable import saved
 
 SHINGLE = 5
 #: Links share at least NUMERATOR / DENOMINATOR of the union.
@@ -50,7 +52,13 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: The sketch has a counter for about SHARE shingles, 2**26 (64 MB) at most, in so many chunks.
 SHARE, SKETCH_MOST, SKETCH_CHUNKS = 16, 26, 16
 #: Groups that share a shingle are all paired up to so many; beyond it each is first paired with REPS of them.
-FEW, REPS = 4, 2
+FEW, REPS = 12, 8
+#: A shingle counted some 2**HOT_BITS times or more is dealt over several partitions.
+HOT_BITS = 18
+#: Pairs across a crowd's components are all verified once they are at most WORK for each member, or after TURNS turns with PIVOTS.
+WORK, TURNS, PIVOTS = 64, 3, 8
+#: Steps of sizes, a bit more than DENOMINATOR / NUMERATOR apart.
+SCALE = 1.34
 BLOCK_CHARS = 8_000_000
 #: Sketch rows go to partitions below zero, so they meet no other kind.
 LINKS = "a long, b long"
@@ -178,6 +186,42 @@ def _holders(answers: pa.Table) -> dict[tuple[int, int], int]:
     return out
 
 
+class Parts:
+    """Disjoint sets of ids, kept by union."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+    def split(self, ids) -> dict[int, list[int]]:
+        """The ids by their set."""
+        out: dict[int, list[int]] = {}
+        for x in ids:
+            out.setdefault(self.root(x), []).append(x)
+        return out
+
+    def meet(self, left, right, sets_l, sets_r) -> list[tuple[int, int]]:
+        """Links that connect what links of ``left`` with ``right``; ids already connected aren't compared."""
+        out = []
+        right = self.split(right)
+        for a in self.split(left).values():
+            for b in right.values():
+                if self.root(a[0]) != self.root(b[0]):
+                    hit = next(((x, y) for x in a for y in b if linked(sets_l[x], sets_r[y])), None)
+                    if hit:
+                        out.append(hit)
+                        self.join(*hit)
+        return out
+
+
 def _send_prefixes(levels: np.ndarray, parts: int, bits: int):
     """Prefix shingles of the groups of a block's classes, and links and members inside groups."""
 
@@ -186,100 +230,83 @@ def _send_prefixes(levels: np.ndarray, parts: int, bits: int):
             return rows_table([])
         block, holder = _block(table), _holders(answers)
         groups: dict[tuple, list[tuple[int, np.ndarray]]] = {}
-        prefixes: dict[tuple, np.ndarray] = {}
+        prefixes: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         done = set()
         for _, d, s in Docs(dealt(table)).sets():
             if d is None or not len(s) or (k := set_hash(s)) in done or holder.get(k) != d:
                 continue
             done.add(k)
             lv = levels[(s >> np.uint64(64 - bits)).astype(np.int64)]
-            pre = s[np.argsort(lv, kind="stable")[: prefix_size(len(s))]]
-            g = (len(s), *set_hash(pre))
+            at = np.argsort(lv, kind="stable")[: prefix_size(len(s))]
+            g = (len(s), *set_hash(s[at]))
             groups.setdefault(g, []).append((d, s))
-            prefixes[g] = pre
+            prefixes[g] = s[at], lv[at]
         rows, first, members, inside = [], [], [], []
         for g, docs in groups.items():
             docs.sort(key=lambda x: x[0])
             first.append(docs[0][0])
             if len(docs) > 1:
-                members += [(docs[0][0], d) for d, _ in docs[1:]]
-                part = {d: d for d, _ in docs}  # which of them are in one component already
-                for i, (d, s) in enumerate(docs):
-                    for e, t in docs[:i]:
-                        if part[d] != part[e] and linked(s, t):
-                            inside.append((e, d))
-                            old, new = part[d], part[e]
-                            part = {k: new if v == old else v for k, v in part.items()}
+                sets, own = dict(docs), Parts()
+                for i, (d, _) in enumerate(docs):
+                    inside += own.meet([d], (e for e, _ in docs[:i]), sets, sets)
+                members += [(docs[0][0], d, own.root(d)) for d, _ in docs]
         if members:
             m = np.array(members, np.int64)
-            rows.append((block, block, "members", pack(m[:, 0]), pack(m[:, 1])))
+            rows.append((block, block, "members", pack(m[:, 0]), pack(m[:, 1]), pack(m[:, 2])))
         if inside:
             m = np.array(inside, np.int64)
             rows.append((block, block, "links", pack(m[:, 0]), pack(m[:, 1])))
         if groups:
-            pres = list(prefixes.values())
+            pres = [x for x, _ in prefixes.values()]
             n = np.fromiter(map(len, pres), np.int64, len(pres))
-            tok = np.concatenate(pres)
+            tok, lv = np.concatenate(pres), np.concatenate([x for _, x in prefixes.values()])
             ids, size = np.repeat(np.array(first, np.int64), n), np.repeat(np.array([g[0] for g in groups], np.int64), n)
             pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
-            order, runs = by_part((mix(tok) % np.uint64(parts)).astype(np.int64))
-            rows += [(block, p, "prefix", tok[o].tobytes(), pack(ids[o]), pack(size[o]), pack(pos[o])) for p, i, j in runs for o in [order[i:j]]]
+            # very frequent shingles are dealt by id as well, so that no partition holds all documents of one
+            salts = (1 << np.maximum(lv.astype(np.int64) // 4 - HOT_BITS, 0)).astype(np.uint64)
+            part = (mix(tok) + mix(ids.astype(np.uint64)) % salts) % np.uint64(parts)
+            order, runs = by_part(part.astype(np.int64))
+            rows += [(block, p, "prefix", tok[o].tobytes(), pack(ids[o]), pack(size[o]), pack(pos[o]), pack((salts[o] > 1).astype(np.int64))) for p, i, j in runs for o in [order[i:j]]]
         return rows_table(rows)
 
     return run
 
 
 def _fits(n1, p1, n2, p2):
-    """The size filter, and the most that two sets can share with a common shingle at places p1 and p2 of their orders."""
+    """Whether two sets of these sizes can link if the first shingle that they share is at places p1 and p2 of their orders."""
     need = -(-NUMERATOR * (n1 + n2) // (NUMERATOR + DENOMINATOR))
-    most = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1
-    return (DENOMINATOR * np.minimum(n1, n2) >= NUMERATOR * np.maximum(n1, n2)) & (most >= need)
-
-
-PAIRS = "kind string, b1 long, b2 long, a binary, b binary, run long, d1 long, size long"
-
-
-def _pair_rows(b1, d1, b2, d2) -> pa.Table:
-    """Pairs packed by their two blocks."""
-    if not len(b1):
-        return _pairs([])
-    order = np.lexsort((d2, d1, b2, b1))
-    b1, d1, b2, d2 = b1[order], d1[order], b2[order], d2[order]
-    cut = np.flatnonzero(np.r_[True, (np.diff(b1) != 0) | (np.diff(b2) != 0)])
-    ends = np.r_[cut[1:], len(b1)]
-    rows = [("pair", int(b1[i]), int(b2[i]), pack(d1[i:j]), pack(d2[i:j]), 0, 0, 0) for i, j in zip(cut.tolist(), ends.tolist(), strict=True)]
-    return _pairs(rows)
+    return np.minimum(n1 - p1, n2 - p2) >= need
 
 
-def _pairs(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-    return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("kind", "b1", "b2", "a", "b", "run", "d1", "size"), cols, kinds, strict=True)})
+MET = "kind string, b1 long, b2 long, d1 long, d2 long, run long, a binary, b binary, c binary"
+PAIRS = "b1 long, b2 long, d1 long, d2 long"
+CROWDS = "run long, d1 long, size long, pos long"
 
 
 def _meet_prefixes(table: pa.Table) -> pa.Table:
     """Pairs of groups to verify, and the members of crowded shingles."""
     tok = np.concatenate([keys(x) for x in table.column("a").to_pylist()])
-    ids, size, pos = (np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in "bcd")
+    ids, size, pos, hot = (np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in "bcde")
     many = [len(x) // 8 for x in table.column("a").to_pylist()]
     block = np.repeat(np.array(table.column("block").to_pylist(), np.int64), many)
     order = np.lexsort((ids, tok))
-    tok, ids, size, pos, block = tok[order], ids[order], size[order], pos[order], block[order]
+    tok, ids, size, pos, block, hot = tok[order], ids[order], size[order], pos[order], block[order], hot[order]
     start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
     n = np.diff(np.r_[start, len(tok)])
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def add(a: np.ndarray, b: np.ndarray) -> None:
         ok = _fits(size[a], pos[a], size[b], pos[b])
         left.append(a[ok])
         right.append(b[ok])
 
+    crowded = (n > FEW) | ((hot[start] > 0) & (n > 0))
     for k in range(2, FEW + 1):
-        s = start[n == k]
-        for i in range(k):
+        s = start[(n == k) & ~crowded]
+        for i in range(k) if len(s) else ():
             for j in range(i):
                 add(s + j, s + i)
-    crowd, crowd_n = start[n > FEW], n[n > FEW]
+    crowd, crowd_n = start[crowded], n[crowded]
     for r in range(REPS):
         some = crowd_n > r + 1
         at, rest = crowd[some], crowd_n[some] - r - 1
@@ -287,96 +314,88 @@ def _meet_prefixes(table: pa.Table) -> pa.Table:
     a, b = np.concatenate(left), np.concatenate(right)
     _, one = np.unique(mix(ids[a].astype(np.uint64)) * np.uint64(3) + mix(ids[b].astype(np.uint64) + np.uint64(1)), return_index=True)
     a, b = a[one], b[one]
-    # a row for a pair here (few meet in a partition), with the second group in the place of the size
-    n = len(a)
-    pairs = pa.table({
-        "kind": pa.array(["pair"] * n, pa.string()), "b1": pa.array(block[a]), "b2": pa.array(block[b]), "a": pa.nulls(n, pa.binary()), "b": pa.nulls(n, pa.binary()), "run": pa.array(np.zeros(n, np.int64)), "d1": pa.array(ids[a]), "size": pa.array(ids[b]),
-    })
-    # crowds with the same members are one
-    seen, rows = set(), []
+    # crowds with the same members are one, at the lowest place that each has in any of them; those of a dealt shingle go by the shingle
+    runs: dict[int, list] = {}
     for s, k in zip(crowd.tolist(), crowd_n.tolist(), strict=True):
-        key = int(mix(mix(ids[s : s + k].astype(np.uint64)) * np.uint64(5)).sum() ^ np.uint64(k))
-        if key not in seen:
-            seen.add(key)
-            run = key - (1 << 64) if key >= 1 << 63 else key
-            rows.append(("crowd", 0, 0, pack(ids[s : s + k]), pack(size[s : s + k]), run, 0, 0))
-    return pa.concat_tables([pairs, _pairs(rows)])
+        key = int(mix(tok[s : s + 1])[0]) if hot[s] else int(mix(mix(ids[s : s + k].astype(np.uint64)) * np.uint64(5)).sum() ^ np.uint64(k))
+        if key in runs:
+            runs[key][2] = np.minimum(runs[key][2], pos[s : s + k])
+        else:
+            runs[key] = [ids[s : s + k], size[s : s + k], pos[s : s + k]]
+    m, none = len(runs), len(a)
+    blank, zero = pa.nulls(none, pa.binary()), np.zeros(m, np.int64)
+    return pa.table({
+        "kind": pa.array(["pair"] * none + ["crowd"] * m, pa.string()),
+        **{name: pa.array(np.r_[x, zero].astype(np.int64)) for name, x in (("b1", block[a]), ("b2", block[b]), ("d1", ids[a]), ("d2", ids[b]))},
+        "run": pa.array(np.r_[np.zeros(none, np.int64), np.array(list(runs), np.uint64).view(np.int64)]),
+        **{name: pa.chunked_array([blank, pa.array([pack(x[i]) for x in runs.values()], pa.binary())]) for i, name in enumerate("abc")},
+    })
 
 
 def _ask(table: pa.Table) -> pa.Table:
     """Pairs of two blocks, packed, for both of them."""
     b1, b2 = table.column("b1")[0].as_py(), table.column("b2")[0].as_py()
-    packed = table.column("a").is_valid().to_numpy()
-    d1, d2 = (
-        np.concatenate([table.column(one).to_numpy()[~packed], *(unpack(x) for x in table.column(many).to_pylist() if x is not None)])
-        for one, many in (("d1", "a"), ("size", "b"))
-    )
-    one = np.unique(np.stack([d1, d2], 1), axis=0)
+    one = np.unique(np.stack([table.column("d1").to_numpy(), table.column("d2").to_numpy()], 1), axis=0)
     d1, d2 = one[:, 0], one[:, 1]
     return rows_table([(b1, b2, "send", pack(np.unique(d1))), (b2, b1, "check", pack(d1), pack(d2))])
 
 
-def _members(answers: pa.Table) -> dict[int, list[int]]:
+def _members(answers: pa.Table) -> tuple[dict[int, list[int]], dict[int, int]]:
+    """The members of groups by the first, and the first member that links inside the group connect each with."""
     out: dict[int, list[int]] = {}
-    for k, a, b in zip(*(answers.column(x).to_pylist() for x in ("kind", "a", "b")), strict=True):
+    root: dict[int, int] = {}
+    for k, a, b, c in zip(*(answers.column(x).to_pylist() for x in ("kind", "a", "b", "c")), strict=True):
         if k == "members":
-            for g, d in zip(unpack(a).tolist(), unpack(b).tolist(), strict=True):
-                out.setdefault(g, [g]).append(d)
-    return out
+            for g, d, r in zip(unpack(a).tolist(), unpack(b).tolist(), unpack(c).tolist(), strict=True):
+                out.setdefault(g, []).append(d)
+                root[d] = r
+    return out, root
 
 
 def _send_texts(table: pa.Table, asked: pa.Table) -> pa.Table:
     """The texts that other blocks asked for, of all members of the groups."""
-    if not table.num_rows:
-        return rows_table([])
-    group, rows = _members(asked), []
     wanted = [(p, unpack(a).tolist()) for p, k, a in zip(*(asked.column(x).to_pylist() for x in ("part", "kind", "a")), strict=True) if k == "send"]
+    if not table.num_rows or not wanted:
+        return rows_table([])
+    (group, root), rows = _members(asked), []
     texts = Docs(dealt(table)).find({d for _, gs in wanted for g in gs for d in group.get(g, [g])})
     coded = {d: t.encode("utf-8", "surrogatepass") for d, t in texts.items()}
     del texts
     for to, gs in wanted:
-        ids = [(g, d) for g in gs for d in group.get(g, [g])]
-        raw = [coded[d] for _, d in ids]
+        ids = [(g, d, root.get(d, d)) for g in gs for d in group.get(g, [g])]
+        raw = [coded[d] for _, d, _ in ids]
         m = np.array(ids, np.int64)
         blob = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
-        rows.append((to, _block(table), "texts", pack(m[:, 0]), pack(m[:, 1]), pack(np.array([len(x) for x in raw], np.int64)), blob))
+        rows.append((to, _block(table), "texts", pack(m[:, 0]), pack(m[:, 1]), pack(np.array([len(x) for x in raw], np.int64)), blob, pack(m[:, 2])))
     return rows_table(rows)
 
 
 def _verify(table: pa.Table, asked: pa.Table) -> pa.Table:
     """Links among the members of the pairs asked for."""
-    a_out, b_out = [], []
-    up: dict[int, int] = {}  # what this block's links connect
-
-    def root(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    if table.num_rows and asked.num_rows:
-        group = _members(asked)
-        cols = ("part", "kind", "a", "b", "c", "d")
-        rows = list(zip(*(asked.column(x).to_pylist() for x in cols), strict=True))
-        check = {p: (unpack(a).tolist(), unpack(b).tolist()) for p, k, a, b, *_ in rows if k == "check"}
+    found: list[tuple[int, int]] = []
+    cols = ("part", "kind", "a", "b", "c", "d", "e")
+    rows = list(zip(*(asked.column(x).to_pylist() for x in cols), strict=True))
+    check = {p: (unpack(a).tolist(), unpack(b).tolist()) for p, k, a, b, *_ in rows if k == "check"}
+    if table.num_rows and check:
+        (group, root), known = _members(asked), Parts()
         mine = Docs(dealt(table)).find({d for _, gs in check.values() for g in gs for d in group.get(g, [g])})
         own = {d: shingles(t) for d, t in mine.items()}
-        for p, k, a, b, c, d in rows:
+        for d in own:
+            known.join(d, root.get(d, d))
+        for p, k, a, b, c, d, e in rows:
             if k != "texts" or p not in check:
                 continue
             raw = zstandard.ZstdDecompressor().decompress(d)
             ends = np.cumsum(unpack(c)).tolist()
-            far: dict[int, list[tuple[int, np.ndarray]]] = {}
-            for g, m, s, e in zip(unpack(a).tolist(), unpack(b).tolist(), [0, *ends], ends, strict=False):
-                far.setdefault(g, []).append((m, shingles(raw[s:e].decode("utf-8", "surrogatepass"))))
+            far: dict[int, list[int]] = {}
+            sets: dict[int, np.ndarray] = {}
+            for g, m, r, s, t in zip(unpack(a).tolist(), unpack(b).tolist(), unpack(e).tolist(), [0, *ends], ends, strict=False):
+                far.setdefault(g, []).append(m)
+                sets[m] = shingles(raw[s:t].decode("utf-8", "surrogatepass"))
+                known.join(m, r)
             for g, h in zip(*check[p], strict=True):
-                for m, s in far[g]:
-                    for x in group.get(h, [h]):
-                        if m != x and (r := root(m)) != (q := root(x)) and linked(s, own[x]):
-                            a_out.append(m)
-                            b_out.append(x)
-                            up[r] = q
-    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+                found += known.meet(far[g], group.get(h, [h]), sets, own)
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
 def _unpack_links(batches):
@@ -390,56 +409,49 @@ def _members_of(batches):
     """The members of packed crowds, a row each."""
     for b in batches:
         t = pa.Table.from_batches([b])
-        for run, a, c in zip(t.column("run").to_pylist(), t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
-            ids = unpack(a)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), run)), pa.array(ids), pa.array(unpack(c))], names=["run", "d1", "size"])
-
-
-def _across(table: pa.Table) -> pa.Table:
-    """All pairs of a crowd's groups that have members in different components and fit by size; the side of the rarer component travels."""
-    if table.num_rows > 500:
-        tidy()
-    d, b, n, low, high = (table.column(x).to_numpy() for x in ("d1", "block", "size", "low", "high"))
-    _, which, many = np.unique(low, return_inverse=True, return_counts=True)
-    which = which.reshape(-1)
-    # a group of several components differs from every other group
-    several = np.flatnonzero(low != high)
-    which[several] = len(many) + np.arange(len(several))
-    many = np.r_[many, np.ones(len(several), np.int64)]
-    order = np.lexsort((d, which, many[which]))
-    d, b, n, which = d[order], b[order], n[order], which[order]
-    out, left, right, held = [_pairs([])], [], [], 0
-
-    def flush() -> None:
-        if left:
-            x, y = np.concatenate(left), np.concatenate(right)
-            out.append(_pair_rows(b[x], d[x], b[y], d[y]))
-            left.clear()
-            right.clear()
-
-    for i in range(len(d) - 1):
-        j = i + 1 + np.flatnonzero((which[i + 1 :] != which[i]) & (DENOMINATOR * np.minimum(n[i], n[i + 1 :]) >= NUMERATOR * np.maximum(n[i], n[i + 1 :])))
-        left.append(np.full(len(j), i))
-        right.append(j)
-        held += len(j)
-        if held > 300_000:
-            flush()
-            held = 0
-    flush()
-    return pa.concat_tables(out)
-
-
-def _between(found: DataFrame, crowds: DataFrame, members: DataFrame, parts: int, verified) -> DataFrame:
-    """Links between components that share a crowd (rows run, d1, size), by the components of all members (d1, id) of its groups."""
-    comp = components(found)
-    own = F.coalesce("component", "id")
-    spread = members.join(comp, "id", "left").groupBy("d1").agg(F.min(own).alias("x"), F.max(own).alias("y"))
-    first = F.coalesce("component", "d1")
-    rows = crowds.join(comp.withColumnRenamed("id", "d1"), "d1", "left").join(spread, "d1", "left")
-    rows = rows.select("run", "d1", "size", F.least(first, "x").alias("low"), F.greatest(first, "y").alias("high"), F.pmod(F.xxhash64("d1"), F.lit(parts)).alias("block"))
-    mixed = rows.groupBy("run").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("run")
-    pairs = saved(rows.join(mixed, "run").repartition(4 * parts, "run").groupBy("run").applyInArrow(_across, PAIRS))
-    return verified(pairs) if pairs.limit(1).count() else found.sparkSession.createDataFrame([], LINKS)
+        for run, *packed in zip(*(t.column(x).to_pylist() for x in ("run", "a", "b", "c")), strict=True):
+            ids, size, pos = map(unpack, packed)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), run)), pa.array(ids), pa.array(size), pa.array(pos)], names=["run", "d1", "size", "pos"])
+
+
+def _across(links: DataFrame, crowds: DataFrame, inside: DataFrame, parts: int, verified) -> DataFrame:
+    """``links`` and the links between components that share a crowd.
+
+    Rows of crowds are (run, d1, size, pos) by group; ``inside`` has (d1, id) of
+    the members of groups. Each member is judged by its own component. A member
+    outside its crowd's main component is paired with the members of other
+    components that it can link with by size and place, all of them. While those
+    pairs may be many (WORK for each member), first PIVOTS of the main component
+    are tried on all members outside it, which makes main components grow.
+    """
+    members = saved(crowds.withColumnRenamed("d1", "id").unionByName(crowds.join(inside, "d1").select("run", "id", "size", "pos")).groupBy("run", "id").agg(F.min("size").alias("size"), F.min("pos").alias("pos")))
+    block = F.pmod(F.xxhash64("x"), F.lit(parts))
+    x = F.struct
+    for turn in range(TURNS + 1):
+        comp = saved(components(links))
+        links = comp.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
+        placed = members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        each = placed.groupBy("run", "c").agg(F.count("*").alias("n"))
+        main = each.groupBy("run").agg(F.max_by("c", x("n", "c")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("top")).where("top < total")
+        placed = saved(placed.join(main, "run"))
+        work, rows = main.agg(F.sum((F.col("total") - F.col("top")) * F.col("total")), F.sum("total")).first()
+        if not work:
+            return links
+        last = turn == TURNS or work <= WORK * rows
+        outside = placed.where("c <> main").select("run", F.col("id").alias("x"), F.col("size").alias("n"), F.col("pos").alias("p"), "c", "main")
+        others = placed.select("run", F.col("id").alias("y"), F.col("size").alias("m"), F.col("pos").alias("q"), F.col("c").alias("k"))
+        if not last:
+            rank = F.row_number().over(Window.partitionBy("run").orderBy(F.xxhash64("y", F.lit(turn)), "y"))
+            others = placed.where("c = main").select("run", F.col("id").alias("y"), F.col("size").alias("m"), F.col("pos").alias("q"), F.col("c").alias("k")).withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank")
+        # sizes of linked sets are at most one step of this scale apart
+        outside = outside.withColumn("step", F.explode(F.array(*(F.floor(F.log(F.col("n").cast("double")) / math.log(SCALE)) + i for i in (-1, 0, 1)))))
+        others = others.withColumn("step", F.floor(F.log(F.col("m").cast("double")) / math.log(SCALE)))
+        need = F.expr(f"ceil({NUMERATOR} * (n + m) / {NUMERATOR + DENOMINATOR})")
+        pairs = outside.join(others, ["run", "step"]).where((F.col("c") != F.col("k")) & ((F.col("k") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.least(F.expr("n - p"), F.expr("m - q")) >= need))
+        pairs = saved(pairs.select(F.col("y").alias("d1"), F.col("x").alias("d2")).distinct().select(F.pmod(F.xxhash64("d1"), F.lit(parts)).alias("b1"), F.pmod(F.xxhash64("d2"), F.lit(parts)).alias("b2"), "d1", "d2"))
+        links = saved(links.unionByName(verified(pairs, None)))
+        if last:
+            return links
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -447,10 +459,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     parts = count(docs, text_col, block_chars)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = saved(deal(rows, parts, F.coalesce("id", F.xxhash64("text")))).groupBy("block")
-    spark = docs.sparkSession
     bits = min(SKETCH_MOST, max(10, (parts * block_chars // (6 * SHARE)).bit_length()))
     met = saved(blocks.applyInArrow(_send_sets(parts, bits), ROWS).groupBy("part").applyInArrow(_meet_sets(bits), ROWS))
-    forget(spark)
     levels = np.zeros(1 << bits, np.uint8)
     size = len(levels) // SKETCH_CHUNKS
     for r in met.where("kind = 'sketch'").select("part", "a").toLocalIterator():  # 2**bits bytes in all
@@ -458,23 +468,21 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     classes = met.where("kind = 'class'")
 
     sent = saved(blocks.cogroup(classes.groupBy("block")).applyInArrow(_send_prefixes(levels, parts, bits), ROWS))
-    forget(spark)
-    pairs = saved(sent.where("kind = 'prefix'").groupBy("part").applyInArrow(_meet_prefixes, PAIRS))
+    met_pairs = saved(sent.where("kind = 'prefix'").groupBy("part").applyInArrow(_meet_prefixes, MET))
     members = sent.where("kind = 'members'")
     found = saved(sent.where("kind = 'links'").select("a", "b").mapInArrow(_unpack_links, LINKS))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        asked = saved(pairs.select("b1", "b2", "a", "b", "d1", "size").groupBy("b1", "b2").applyInArrow(_ask, ROWS))
-        texts = blocks.cogroup(asked.where("kind = 'send'").unionByName(members).groupBy("block")).applyInArrow(_send_texts, ROWS)
-        out = saved(blocks.cogroup(texts.unionByName(asked.where("kind = 'check'")).unionByName(members).groupBy("block")).applyInArrow(_verify, LINKS))
-        forget(spark)
-        return out
+    def verified(pairs: DataFrame, members: DataFrame | None) -> DataFrame:
+        asked = saved(pairs.select("b1", "b2", "d1", "d2").groupBy("b1", "b2").applyInArrow(_ask, ROWS))
+        group = members if members is not None else asked.limit(0)
+        texts = blocks.cogroup(asked.where("kind = 'send'").unionByName(group).groupBy("block")).applyInArrow(_send_texts, ROWS)
+        return saved(blocks.cogroup(texts.unionByName(asked.where("kind = 'check'")).unionByName(group).groupBy("block")).applyInArrow(_verify, LINKS))
 
-    found = saved(found.unionByName(verified(pairs.where("kind = 'pair'").distinct())))
-    crowds = pairs.where("kind = 'crowd'").select("run", "a", "b").dropDuplicates(["run"])
-    if crowds.limit(1).count():
-        inside = members.select("a", "b").mapInArrow(_unpack_links, LINKS).toDF("d1", "id")
-        found = found.unionByName(_between(found, crowds.mapInArrow(_members_of, "run long, d1 long, size long"), inside, parts, verified))
+    pairs = met_pairs.where("kind = 'pair'").select("b1", "b2", "d1", "d2").distinct()
+    found = saved(found.unionByName(verified(pairs, members)))
+    crowds = met_pairs.where("kind = 'crowd'").select("run", "a", "b", "c").mapInArrow(_members_of, CROWDS)
+    inside = members.select("a", "b").mapInArrow(_unpack_links, LINKS).toDF("d1", "id")
+    found = _across(found, crowds, inside, parts, verified)
 
     def holders(answers: pa.Table) -> pa.Table:
         holder, ids, sizes, low = _holders(answers), [], [], []
@@ -520,3 +528,27 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     place = F.coalesce("id", F.xxhash64(names[docs.columns.index(text_col)]))
     return deal(rows, parts, place).groupBy("block").cogroup(keep.groupBy("block")).applyInArrow(pick, schema)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' ')) END) AS g
+  FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * m >= 75 * (p.n + q.n - m)
+), e AS (
+  SELECT x, y FROM l UNION SELECT y, x FROM l
+), r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.c = e.x
+)
+SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id
+FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+"""

@@ -68,4 +68,4 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_repeats, op4_neighbours, op5_html_text, op6_jaccard, op7_token_counts, op8_sentence_pieces, op9_quality, op10_katz)}
-ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op3_repeats": repeats.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op3_repeats": repeats.ORACLE, "op6_jaccard": jaccard.ORACLE}

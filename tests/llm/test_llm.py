@@ -294,10 +294,12 @@ def jaccard_components(docs):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("few", "reps", "chars"), [(4, 8, 10**6), (1, 1, 2000), (4, 8, 2000)])
-def test_jaccard(spark, monkeypatch, few, reps, chars):
-    monkeypatch.setattr(jaccard, "FEW", few)
-    monkeypatch.setattr(jaccard, "REPS", reps)
+@pytest.mark.parametrize(("few", "reps", "chars", "hot", "work"), [(None, None, 10**6, None, None), (None, None, 2000, None, None), (1, 1, 2000, None, 0), (2, 1, 2000, 3, 1)])
+def test_jaccard(spark, monkeypatch, few, reps, chars, hot, work):
+    """With production settings, and with small ones that make crowds, dealt shingles and several turns."""
+    for name, value in (("FEW", few), ("REPS", reps), ("HOT_BITS", hot), ("WORK", work), ("PIVOTS", reps)):
+        if value is not None:
+            monkeypatch.setattr(jaccard, name, value)
     r = random.Random(6)
     base = [[r.choice("abcdefghijklmnop") for _ in range(60)] for _ in range(5)]
     docs = []
@@ -315,20 +317,37 @@ def test_jaccard_hidden_members_of_a_crowd(spark):
     """Groups R+X / R+Y: the R+Y documents link with each other only, and neither hold their group's first id nor are in the first REPS groups."""
     ids = [x["id"] for x in spark.range(400).where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0).collect()]  # of one block
     r, x, y = ([f"{c}{i}" for i in range(n)] for c, n in (("r", 14), ("x", 27), ("y", 27)))
-    docs, groups = [], 4 + jaccard.REPS
+    docs, groups = [], jaccard.FEW + jaccard.REPS
     for i in range(groups):
         own = [f"own{i}_{k}" for k in range(3)]
         docs.append((ids[i], " ".join(own + r + x)))
         if i >= jaccard.REPS:
             docs.append((ids[groups + i], " ".join(own + r + y)))
     # others make X and Y frequent, so that prefixes are of R
-    docs += [(ids[50 + i], " ".join(r[-4:] + x + r[-4:] + y + [f"z{i}_{k}" for k in range(80)])) for i in range(24)]
+    docs += [(ids[2 * groups + i], " ".join(r[-4:] + x + r[-4:] + y + [f"z{i}_{k}" for k in range(80)])) for i in range(24)]
     want = jaccard_components(docs)
     assert groups > jaccard.FEW and len({c for _, c in want.values()}) == 2 + 24
     got = {z["doc_id"]: (z["n_shingles"], z["component_id"]) for z in jaccard.joined(documents(spark, docs)).collect()}
     assert got == want
 
 
+def test_jaccard_crowds_of_groups_in_several_components(spark, monkeypatch):
+    """d2 stands in a group with d1, whose component e is in already; only d2 itself links the two with e's rest."""
+    r, docs = random.Random(9), []
+    at = iter(r.sample(range(10_000), 400))
+    for k in range(30):
+        x, a, b = ([f"{c}{k}_{i}" for i in range(n)] for c, n in (("x", 160), ("a", 40), ("b", 40)))
+        a, b = ["a", *a], ["b", *b]
+        docs += [(next(at), " ".join(x + a + [f"r{k}_{i}"])) for i in range(6)]
+        docs += [(next(at), " ".join(x + a)), (next(at), " ".join(x + b)), (next(at), " ".join(x + a[:20] + b[20:] + [f"e{k}"]))]
+    want = jaccard_components(docs)
+    for few, reps in ((jaccard.FEW, jaccard.REPS), (2, 1)):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        monkeypatch.setattr(jaccard, "REPS", reps)
+        got = {z["doc_id"]: (z["n_shingles"], z["component_id"]) for z in jaccard.joined(documents(spark, docs), block_chars=200_000).collect()}
+        assert got == want
+
+
 def test_jaccard_odd(spark, odd):
     got = jaccard.joined(odd).collect()
     assert len(got) == odd.count() and all(x["component_id"] == x["doc_id"] for x in got)
