@@ -15,10 +15,15 @@ part, and so does a heading whose section holds a part. As the density above
 grows with the size of a subtree, one with the body's characters outside links
 for each tag is dense as well.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are known by element, role or the words of class and id; they
-have no density and no text. What is left of the article is never cut: blocks
-keep all their text.
+Menus, headers, footers, sidebars, notices, adverts, scripts, styles and reader
+comments are known by element or role; they have no density and no text. Words
+of class and id (and a form around something) only weigh: densities count for a
+quarter below a name that holds such a word, for a hundredth where it says
+nothing else, and names of a state (``no-sidebar``, ``comments-open``) count for
+nothing. The densest node is marked with these weights first. No element on its
+path is boilerplate then, nor one of the same class as an element on it; other
+named elements are. What is left of the article is never cut: blocks keep all
+their text.
 
 A null or empty page has an empty text, as has one without visible text. Tags
 that are never closed end with their parent, a tag cut off by the page's end is
@@ -47,23 +52,28 @@ ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}}
 
-BOILER_TAGS = frozenset("head nav footer aside form button select input label dialog svg canvas audio video object embed menu script style noscript template textarea iframe title".split())
+BOILER_TAGS = frozenset("head nav footer aside button select input label dialog svg canvas audio video object embed menu script style noscript template textarea iframe title".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail footer masthead topbar toolbar comment comments commentlist disqus respond replies reply share sharing social related recommended newsletter subscribe subscription signup login widget pagination pager skip copyright".split()
 )
+#: Words that say no more about a place, and those that make a name one of a state.
+PLACE_WORDS = frozenset("area bar block body bottom box button buttons container content form group header inner item items left link links list main outer page panel post right section site social top wrap wrapper".split())
+STATE_WORDS = frozenset("no not has have with without is are can show hide enable disable open opened close closed ready enabled disabled on off visible hidden active toggled supported".split())
+SOME, STRONG = 0.25, 0.01
 KEPT = frozenset({"html", "body", "article", "main"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "boiler", "density", "total", "c", "t", "lc", "lt", "hc", "deep")
+    __slots__ = ("tag", "kids", "parent", "boiler", "density", "total", "c", "t", "lc", "lt", "hc", "deep", "weight", "names")
 
-    def __init__(self, tag: str, parent: Node | None, boiler: bool):
-        self.tag, self.parent, self.boiler, self.kids = tag, parent, boiler, []
+    def __init__(self, tag: str, parent: Node | None, boiler: bool, weight: float = 1.0, names: str = ""):
+        self.tag, self.parent, self.boiler, self.weight, self.names, self.kids = tag, parent, boiler, weight, names, []
 
 
 def _boiler(tag: str, attributes: str, node: Node) -> bool:
+    """Whether an element is boilerplate by its kind or role."""
     if tag in KEPT:
         return False
     if tag in BOILER_TAGS:
@@ -75,15 +85,22 @@ def _boiler(tag: str, attributes: str, node: Node) -> bool:
                 return False
             up = up.parent
         return True
-    if attributes and "=" in attributes:
+    return bool(attributes) and any(name.lower() == "role" and "".join(values).lower() in BOILER_ROLES for name, *values in ATTRIBUTE.findall(attributes))
+
+
+def _named(tag: str, attributes: str) -> tuple[float, str]:
+    """What an element's class and id leave of its weight, and these names."""
+    weight, names = STRONG if tag == "form" else 1.0, []
+    if tag not in KEPT and attributes and "=" in attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
-            value = "".join(values).lower()
             if name.lower() == "role":
-                if value in BOILER_ROLES:
-                    return True
-            elif any(w in BOILER_WORDS for w in re.split(r"[^a-z]+", value)):
-                return True
-    return False
+                continue
+            names.append(value := "".join(values).lower())
+            for one in value.split():
+                words = [w for w in re.split("[^a-z]+", one) if w]
+                if any(w in BOILER_WORDS for w in words) and words[0] not in STATE_WORDS and words[-1] not in STATE_WORDS:
+                    weight = min(weight, STRONG if all(w in BOILER_WORDS or w in PLACE_WORDS for w in words) else SOME)
+    return weight, " ".join(names)
 
 
 def parse(page: str) -> Node:
@@ -122,7 +139,7 @@ def parse(page: str) -> Node:
                 if up.tag in SIBLING[tag]:
                     node = up.parent
                 up = up.parent
-        new = Node(tag, node, node.boiler or _boiler(tag, attributes, node))
+        new = Node(tag, node, node.boiler or _boiler(tag, attributes, node), *_named(tag, attributes))
         node.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
@@ -150,11 +167,8 @@ def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
     return c / t * (math.log(value) / math.log(base) if base > 1 and value > 1 else 1e-3)
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    order = _order(parse(page))
-    body = next((x for x in order if x.tag == "body"), order[0])
+def _measure(order: list[Node]) -> None:
+    """Characters, tags, those in links and in headings, of every node."""
     for x in reversed(order):
         x.c = x.t = x.lc = x.lt = x.hc = 0
         # whether it is or holds a block
@@ -174,16 +188,53 @@ def main_text(page: str | None) -> str:
             x.lc = x.c
         if x.tag in HEADINGS:
             x.hc = x.c
-    if not body.c:
-        return ""
-    share = body.lc / body.c
-    best = None
+
+
+def _densest(order: list[Node], share: float, weights: dict[int, float]) -> Node | None:
+    """The element with the largest sum of its children's densities, by the weight of their characters (one, if not given)."""
+    best, weighed = None, {}
     for x in reversed(order):
+        w = weights.get(id(x), 1.0)
         x.density = _density(x.c, x.t, x.lc, x.lt, share)
-        own = 0.0 if x.boiler else sum(_density(len(k.strip()), 1, 0, 0, share) for k in x.kids if isinstance(k, str))
-        x.total = own + sum(k.density for k in x.kids if isinstance(k, Node) and not k.boiler)
+        strings = [] if x.boiler else [len(k.strip()) for k in x.kids if isinstance(k, str)]
+        kids = [k for k in x.kids if isinstance(k, Node) and not k.boiler and k.c]
+        weighed[id(x)] = w * sum(strings) + sum(weighed[id(k)] for k in kids)
+        x.total = w * sum(_density(n, 1, 0, 0, share) for n in strings) + sum(k.density * weighed[id(k)] / k.c for k in kids)
         if not x.boiler and x.c and (x.tag in BLOCK or x.tag == "#root") and (best is None or x.total >= best.total):
             best = x
+    return best
+
+
+def _judge_names(order: list[Node], body: Node) -> None:
+    """Named elements become boilerplate, but for those on the path of the densest node and those of the same names."""
+    if all(x.weight == 1 for x in order):
+        return
+    _measure(order)
+    if not body.c:
+        return
+    weights: dict[int, float] = {}
+    for x in order:
+        weights[id(x)] = x.weight * (weights[id(x.parent)] if x.parent is not None else 1.0)
+    up, path, names = _densest(order, body.lc / body.c, weights), set(), set()
+    while up is not None:
+        path.add(id(up))
+        names.add((up.tag, up.names))
+        up = up.parent
+    for x in order:
+        x.boiler = x.boiler or (x.parent is not None and x.parent.boiler) or (x.weight < 1 and id(x) not in path and not (x.names and (x.tag, x.names) in names))
+
+
+def main_text(page: str | None) -> str:
+    if not page:
+        return ""
+    order = _order(parse(page))
+    body = next((x for x in order if x.tag == "body"), order[0])
+    _judge_names(order, body)
+    _measure(order)
+    if not body.c:
+        return ""
+    share = body.lc / body.c
+    best = _densest(order, share, {})
     # up from it to below the body, as long as a node is denser than the body as a whole
     up = best.parent
     while up is not None and up.tag not in ("body", "html", "#root") and up.density >= body.density:
