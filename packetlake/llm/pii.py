@@ -6,10 +6,15 @@ over word-shape features, trained on the small labelled table of ``examples``
 that the rules miss: national phone numbers, spelled-out at signs, card numbers
 with other separators, host-less addresses. Lines are decoded by Viterbi in
 numpy batches. A span that touches a base span is left out, so base spans stay.
+A span whose digits can't be of its kind (cards have 12 to 19, phones 7 to 15)
+takes the other kind if they can be of that, and else isn't one.
 
-Every line is decoded, with digits and at signs or without; nothing is skipped
-or cut. (Plain forms can't be without either, so only they are looked for where
-one is.)
+Every line is scored by the field, with digits and at signs or without; nothing
+is skipped or cut. Viterbi runs where it can find anything: for each token the
+most that any personal label could gain over "none" is known from the tables,
+and a line whose gains don't add up to more than nothing has no better path than
+the one without labels. (Plain forms can't be without a digit or an at sign, so
+only they are looked for where one is.)
 
 Nulls and empty texts have no spans. Repeated rows each give a row, an empty
 table gives no rows, other columns are ignored by ``find`` and kept by ``mask``.
@@ -21,6 +26,8 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -101,10 +108,10 @@ def examples(n: int = 600, seed: int = 7) -> list[list[tuple[str, str]]]:
 
     group = lambda d, s: s.join(d[i : i + 4] for i in range(0, len(d), 4))
     entity = {
-        "email": lambda: r.choice([f"{user()}@{host()}", f"{user()} [at] {host()}", f"{user()} (at) {host()}", f"{user()}@{word()}", f"{user()} @ {host()}"]),
+        "email": lambda: r.choice([f"{user()}@{host()}", f"{user()} [at] {host()}", f"{user()} (at) {host()}", f"{user()}@{word()}", f"{user()} @ {host()}", f"{user()} at {word()} dot {r.choice(['com', 'org', 'net'])}"]),
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": lambda: r.choice([card(), group(card(), " "), group(card(), "-"), group(card(), ".")]),
-        "phone": lambda: r.choice([f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{r.randint(1, 99)} {num(3)} {num(7)}", f"0{num(3)}/{num(7)}"]),
+        "phone": lambda: r.choice([f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{r.randint(1, 99)} {num(3)} {num(7)}", f"0{num(3)}/{num(7)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(4)} {num(6)}"]),
     }
     other = [
         lambda: str(r.randint(1900, 2030)), lambda: f"{r.randint(1, 31)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 31)}",
@@ -112,7 +119,7 @@ def examples(n: int = 600, seed: int = 7) -> list[list[tuple[str, str]]]:
         lambda: f"{r.randint(1, 100)}%", lambda: num(r.randint(1, 11)), lambda: f"{word()} = \"{''.join(r.choice('0123456789abcdef') for _ in range(40))}\"", lambda: f"{num(2)}-{num(2)}", lambda: f"({r.randint(1, 99)})",
         lambda: f"{word()}{num(2)}", lambda: f"${num(3)}", lambda: f"{num(3)} {num(3)}", lambda: f"https://{host()}/{word()}/{num(3)}", lambda: f"{num(3)}-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"@ {word()}",
         lambda: f"Version {r.randint(1, 9)}.{r.randint(0, 9)}.", lambda: f"{r.randint(1, 31)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}", lambda: f"{num(2)} {num(2)} {num(4)}",
-        lambda: f"{word()} at {word()}", lambda: f"at {host()}", lambda: f"({word()})", lambda: f"[{word()}]", lambda: f"{word()}.{word()}", lambda: host(), lambda: f"{word()}_{word()}", lambda: " ".join(["at"] * r.randint(1, 6)),
+        lambda: f"{word()} at {word()}", lambda: f"at {host()}", lambda: f"({word()})", lambda: f"[{word()}]", lambda: f"{word()}.{word()}", lambda: host(), lambda: f"{word()}_{word()}", lambda: " ".join(["at"] * r.randint(1, 6)), lambda: f"{word()} dot {word()}",
     ]
     rows = []
     for _ in range(n):
@@ -172,7 +179,7 @@ def tokens(line: str) -> tuple[list[str], list[int], list[int]]:
     return ts, ss, es
 
 
-def lanes(seqs: list[list[int]], pad: int) -> tuple[np.ndarray, np.ndarray]:
+def lanes(seqs: list[list[int]] | list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequences as one padded array and their lengths."""
     n = np.fromiter(map(len, seqs), np.int64, len(seqs))
     out = np.full((len(seqs), int(n.max())), pad, np.int64)
@@ -217,6 +224,37 @@ class Crf:
         one, two = self.features(s)
         return sum(w[f] for w, f in zip(self.unary, one, strict=True)) + sum(w[f] for w, f in zip(self.pair, two, strict=True))
 
+    @functools.cached_property
+    def bounds(self) -> tuple[list[np.ndarray], float, float, float]:
+        """What the best personal label gains over "none": tables by feature, and at entering, leaving and staying in a span."""
+        some = np.flatnonzero(np.arange(len(LABELS)) > 0)
+        gain = [(w[:, 1:] - w[:, :1]).astype(np.float32) for w in (*self.unary, *self.pair)]
+        none, allowed = self.move[0, 0], np.where(self.allowed, self.move, -np.inf)
+        return gain, float(allowed[0, some].max() - none), float(allowed[some, 0].max() - none), float(allowed[np.ix_(some, some)].max() - none)
+
+    def hopeful(self, lines: list[bytes]) -> np.ndarray:
+        """Which lines (shapes, a byte each) could have a better path than the one without labels.
+
+        A span of some tokens gains at most the sum of their gains and of its
+        moves, and so at most the sum of all gains of its line that are above
+        nothing. A span at an end of its line has no move there.
+        """
+        gain, enter, leave, stay = self.bounds
+        n = np.fromiter(map(len, lines), np.int64, len(lines))
+        ends = np.cumsum(n + 2)
+        flat = np.frombuffer(b"\0\0" + b"\0\0".join(lines) + b"\0\0", np.uint8).astype(np.int32)
+        at = {d: flat[2 + d : len(flat) - 2 + d] for d in self.OFFSETS}
+        total = np.zeros((len(flat) - 4, len(LABELS) - 1), np.float32)
+        for g, f in zip(gain, (*(at[d] for d in self.OFFSETS), at[-1] * self.k + at[0], at[0] * self.k + at[1]), strict=True):
+            total += g[f]
+        best = total.max(1).astype(np.float64) + stay
+        first, last = ends - n - 2, ends - 3
+        best[first] += max(0.0, -enter)
+        best[last] += max(0.0, -leave)
+        best = np.maximum(best, 0)
+        best[at[0] == 0] = 0
+        return np.add.reduceat(best, first) + enter + leave - stay > -1e-3
+
     def viterbi(self, s: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Best labels of padded sequences ``s`` of lengths ``n``."""
         e = self.emissions(s)
@@ -306,35 +344,67 @@ def trained() -> Crf:
 CELLS = 60_000
 
 
-def model_spans(crf: Crf, lines: list[str]) -> list[list[tuple[int, int, int]]]:
+class Shapes(dict):
+    """The shapes of a word's tokens, a byte each; short words are remembered."""
+
+    def __init__(self, crf: Crf):
+        assert crf.k < 256
+        self.crf = crf
+
+    def __missing__(self, word: str) -> bytes:
+        out = bytes(self.crf.ids(TOKEN.findall(word)))
+        if len(word) <= 30:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = out
+        return out
+
+
+def model_spans(crf: Crf, lines: list[str], shapes: Shapes | None = None) -> list[list[tuple[int, int, int]]]:
     """(start, kind's number, end) that the model finds in each line."""
-    cut = [tokens(x) for x in lines]
     out: list[list[tuple[int, int, int]]] = [[] for _ in lines]
-    order = sorted((i for i in range(len(lines)) if cut[i][0]), key=lambda i: len(cut[i][0]))
+    get = (Shapes(crf) if shapes is None else shapes).__getitem__
+    coded = [b"".join(map(get, x.split())) for x in lines]
+    some = [i for i, c in enumerate(coded) if c]
+    if some:
+        some = np.array(some)[crf.hopeful([coded[i] for i in some])].tolist()
+    order = sorted(some, key=lambda i: len(coded[i]))
     at = 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and (end - at + 1) * len(cut[order[end]][0]) <= CELLS:
+        while end < len(order) and (end - at + 1) * len(coded[order[end]]) <= CELLS:
             end += 1
         group = order[at:end]
-        s, n = lanes([crf.ids(cut[i][0]) for i in group], 0)
+        s, n = lanes([coded[i] for i in group], 0)
         got = crf.viterbi(s, n)
         for row in np.flatnonzero(got.any(1)).tolist():
             i = group[row]
-            _, ss, es = cut[i]
-            marks = np.flatnonzero(got[row]).tolist()
-            for j in marks:
+            _, ss, es = tokens(lines[i])
+            for j in np.flatnonzero(got[row]).tolist():
                 name = LABELS[got[row, j]]
                 kind = KINDS.index(name[2:])
                 if name[0] == "B" or not out[i]:
                     out[i].append((ss[j], kind, es[j]))
                 else:
                     out[i][-1] = (out[i][-1][0], kind, es[j])
+            out[i] = [(a, k, z) for a, k, z in ((a, kind_of(lines[i][a:z], k), z) for a, k, z in out[i]) if k is not None]
         at = end
     return out
 
 
-def all_spans(crf: Crf, texts: list[str | None]) -> tuple[list[list], list[list]]:
+#: Least and most digits of a kind.
+DIGITS = {2: (12, 19), 3: (7, 15)}
+
+
+def kind_of(text: str, kind: int) -> int | None:
+    """The kind that a span of the model can be by its digits: its own if that may be, else phone or card, else none."""
+    if kind not in DIGITS:
+        return kind
+    n = sum(map(str.isdigit, text))
+    return next((k for k in (kind, 3, 2) if DIGITS[k][0] <= n <= DIGITS[k][1]), None)
+
+
+def all_spans(crf: Crf, texts: list[str | None], shapes: Shapes | None = None) -> tuple[list[list], list[list]]:
     """Base spans, and all spans (base ones and those of the model that touch none of them), of each text."""
     base = [base_spans(t) if t and TRIGGER.search(t) else [] for t in texts]
     lines, places = [], []
@@ -346,9 +416,12 @@ def all_spans(crf: Crf, texts: list[str | None]) -> tuple[list[list], list[list]
             at += len(line) + 1
     full = [list(b) for b in base]
     if lines:
-        for (i, at), spans in zip(places, model_spans(crf, lines), strict=True):
+        starts = [[a for a, _, _ in b] for b in base]
+        reach = [list(accumulate((z for _, _, z in b), max)) for b in base]
+        for (i, at), spans in zip(places, model_spans(crf, lines, shapes), strict=True):
             for s, k, e in spans:
-                if not any(s + at < z and a < e + at for a, _, z in base[i]):
+                before = bisect_left(starts[i], e + at)  # base spans that begin before this one's end
+                if not before or reach[i][before - 1] <= s + at:
                     full[i].append((s + at, k, e + at))
     return base, [sorted(f) for f in full]
 
@@ -363,8 +436,10 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     crf = trained()
 
     def make():
+        shapes = Shapes(crf)
+
         def run(texts):
-            base, full = all_spans(crf, texts)
+            base, full = all_spans(crf, texts, shapes)
             cols = {f"n_{k}": [sum(x[1] == j for x in b) for b in base] for j, k in enumerate(KINDS)}
             return cols | {"base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], "spans": [joined(f) for f in full]}
 
@@ -391,8 +466,10 @@ def mask(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars
     fields = [T.StructField(text_col, T.StringType())] + ([T.StructField(chars, T.LongType())] if chars else [])
 
     def make():
+        shapes = Shapes(crf)
+
         def run(texts):
-            new = [masked(t, s) for t, s in zip(texts, all_spans(crf, texts)[1], strict=True)]
+            new = [masked(t, s) for t, s in zip(texts, all_spans(crf, texts, shapes)[1], strict=True)]
             return {text_col: new} | ({chars: [None if t is None else len(t) for t in new]} if chars else {})
 
         return run

@@ -107,6 +107,48 @@ def test_pii_rows_and_masks(spark, odd):
     assert pii.find(odd).count() == odd.count() and pii.find(odd.limit(0)).count() == 0
 
 
+HAND = [
+    ("Ring me at 020 7946 0958 after six.", ["phone:020 7946 0958"]),
+    ("Office: (030) 901-8200, ask for the porter", ["phone:(030) 901-8200"]),
+    ("please write to jane.doe [at] example.com", ["email:jane.doe [at] example.com"]),
+    ("joe at example dot com is what I use", ["email:joe at example dot com"]),
+    ("paid with 4111.1111.1111.1111 on friday", ["card:4111.1111.1111.1111"]),
+    ("The meeting at noon was moved, dot your i and cross your t.", []),
+    ("In 1998 we sold 3,500 units for $12.50 each", []),
+    ("version 2.10.3 came out on 12.05.2021", []),
+    ("see chapter 3 (pages 45-67) of the book", []),
+    ("arrived at 10:45, left at 11:30", []),
+]
+
+
+@pytest.mark.parametrize(("line", "want"), HAND)
+def test_pii_by_hand(line, want):
+    """Lines labelled by hand, not by the rule that makes the training table."""
+    assert [f"{pii.KINDS[k]}:{line[a:z]}" for a, k, z in pii.all_spans(pii.trained(), [line])[1][0]] == want
+
+
+def test_pii_skips_only_lines_without_a_better_path(spark):
+    """Lines that the bound leaves out have no label under Viterbi either."""
+    crf = pii.trained()
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["text"]]
+    texts += [pii.spelled(x)[0] for x in pii.examples(100, 3)]
+    shapes = pii.Shapes(crf)
+    coded = [c for t in texts for line in t.split("\n") if (c := b"".join(shapes[w] for w in line.split()))]
+    assert all(shapes[w] == bytes(crf.ids(pii.TOKEN.findall(w))) for t in texts[:20] for w in t.split())
+    hope, marked = crf.hopeful(coded), 0
+    for c, h in zip(coded, hope, strict=True):
+        got = crf.viterbi(*pii.lanes([c], 0)).any()
+        marked += got
+        assert h or not got
+    assert marked and not hope.all()
+
+
+def test_pii_many_spans_in_one_text():
+    text = "a@b.cd (555) 123-4567 " * 3000
+    base, full = pii.all_spans(pii.trained(), [text])
+    assert len(base[0]) == 3000 and len(full[0]) > 3000
+
+
 # ---- 2 --------------------------------------------------------------------------------------------------------------
 
 
@@ -266,6 +308,18 @@ def test_html_articles_in_pieces(body, lost):
     assert " ".join(got.split()) == whole
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content'", "div class='no-sidebar content'", "div class='layout has-sidebar'", "div class='post social-ready'", "div class='wrap with-nav'", "div class='article-body comments-open'", "div class='related-news story'", "div id=sidebar-layout", "div class=menu", "form action=x"])
+def test_html_names_weigh_only(wrapper):
+    """A wrapper's names don't cost the article, while named parts in and beside it go."""
+    tag = wrapper.split()[0]
+    page = f"<body><div class=topbar>top words</div><{wrapper}><h1>Title</h1>{LONG * 3}<div class=comments>{LONG * 2}</div>{LONG * 2}<div class='share-buttons'><a href=x>share it</a></div></{tag}><div class='cookie-notice'>We use them</div></body>"
+    one = re.sub("<[^>]*>", "", LONG)
+    assert html_text.main_text(page) == "\n\n".join(["Title"] + [one] * 5)
+    twice = page.replace(f"</{tag}><div class='cookie", f"</{tag}><{wrapper}>{LONG * 2}</{tag}><div class='cookie")
+    if tag == "div":
+        assert html_text.main_text(twice) == "\n\n".join(["Title"] + [one] * 7)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "clash"), (1, "u", "<p>a</p>", "clash"), (None, None, None, None)], "page_id LONG, url STRING, html STRING, text STRING")
     assert sorted(x["text"] for x in html_text.extract(df).collect()) == ["", "a", "a"] and html_text.extract(df.limit(0)).count() == 0
