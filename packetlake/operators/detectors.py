@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from packetlake.config import DetectorConfig
 from packetlake.functions import net
+from packetlake.operators import sessions as S
 from packetlake.operators import windows as W
+from packetlake.operators.inspect import dns_inspect
 
 #: Source ports of UDP services whose answers aren't probes (fixed values).
 UDP_SERVICES = (53, 67, 68, 123, 161)
@@ -149,22 +151,26 @@ PROFILE = {
 }
 
 
+#: What the count of a detector is called in its evidence.
+COUNTED = {"host_sweep": "distinct_targets", "port_scan": "distinct_ports", "udp_scan": "distinct_ports", "ack_scan": "distinct_ports", "dns_rate": "queries", "http_enumeration": "distinct_paths", "ssh_brute_force": "distinct_client_ports"}
+
+
 def as_alerts(hits: DataFrame, name: str) -> DataFrame:
     """Detector rows in the schema of alerts; the event id is a hash of detector and packet."""
     sid, severity, confidence, message = PROFILE[name]
     col = lambda c, kind: (F.col(c) if c in hits.columns else F.lit(None)).cast(kind).alias(c)
-    n = F.col("n").cast("string") if "n" in hits.columns else F.lit("1")
+    facts = [(COUNTED.get(name, "count"), F.col("n") if "n" in hits.columns else F.lit(1))]
+    facts += [(c, F.col(c)) for c in ("probe", "signature", "scope", "answers", "path", "version", "score", "recon_us") if c in hits.columns]
+    evidence = F.concat_ws("; ", *(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in facts))
+    sure = F.col("confidence").cast("int") if "confidence" in hits.columns else F.lit(confidence)
     return hits.select(
         F.lit(sid).cast("bigint").alias("sid"), "packet_id", "ts_us", col("src_ip", "string"), col("dst_ip", "string"), col("src_port", "int"), col("dst_port", "int"), col("protocol", "string"),
-        F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), F.lit(message).alias("message"), F.concat(F.lit("count="), n).alias("evidence"), F.sha2(F.concat_ws("|", F.lit(name), F.col("packet_id").cast("string")), 256).alias("event_id"),
+        F.lit(severity).alias("severity"), sure.alias("confidence"), F.lit(message).alias("message"), evidence.alias("evidence"), F.sha2(F.concat_ws("|", F.lit(name), F.col("packet_id").cast("string")), 256).alias("event_id"),
     )
 
 
-def run_all(packets: DataFrame, cfg: DetectorConfig | None = None) -> DataFrame:
-    """Alerts of all detectors that work on single packets, over one packet relation (cache it if it is costly)."""
-    cfg = cfg or DetectorConfig()
-    if not cfg.enable_ipv6 and "ip_version" in packets.columns:
-        packets = packets.where("ip_version IS NULL OR ip_version <> 6")
+def packet_hits(packets: DataFrame, cfg: DetectorConfig) -> dict[str, DataFrame]:
+    """Rows of the detectors that work on single packets; those whose columns aren't there are left out."""
     w = cfg.us("scan_window")
     hits = {
         "icmp_visibility": icmp_visibility(packets), "icmp_flood": icmp_flood(packets, w, cfg.icmp_flood_threshold), "port_scan": port_scan(packets, w, cfg.port_threshold), "udp_scan": udp_scan(packets, w, cfg.port_threshold),
@@ -178,8 +184,60 @@ def run_all(packets: DataFrame, cfg: DetectorConfig | None = None) -> DataFrame:
         acks = packets.where("protocol = 'TCP' AND tcp_flags = 18").select("packet_id", "ts_us", F.col("dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"), F.col("src_port").alias("dst_port"), "protocol", (F.col("tcp_acknowledgment") - 1).alias("seq"))
         hits["syn_flood"] = syn_flood(syns, acks, key, "seq", w, cfg.syn_flood_threshold)
     if "payload" in packets.columns:
-        text = packets.withColumn("__text", F.decode("payload", "ISO-8859-1"))
+        binary = dict(packets.dtypes)["payload"] == "binary"
+        text = packets.withColumn("__text", F.decode("payload", "ISO-8859-1") if binary else F.col("payload"))
         hits["http_enumeration"] = http_enumeration(text, cfg.us("http_enum_window"), cfg.http_enum_threshold, "__text")
-        dns = packets.where("protocol = 'UDP' AND dst_port = 53 AND src_port <> 53").withColumn("qname", F.lit(None).cast("string"))
-        hits["dns_rate"] = dns_rate(dns, w, cfg.dns_threshold)
+        dns = packets.where("protocol = 'UDP' AND dst_port = 53 AND src_port <> 53")
+        # a name that can't be read counts as a query without one
+        names = dns_inspect(dns).withColumn("qname", F.when(~F.col("dns.response"), F.col("dns.qname"))).drop("dns") if binary else dns.withColumn("qname", F.lit(None).cast("string"))
+        hits["dns_rate"] = dns_rate(names, w, cfg.dns_threshold)
+    return hits
+
+
+#: Detectors whose alerts count as reconnaissance of the target by the source.
+RECON = ("host_sweep", "port_scan", "udp_scan", "ack_scan", "ssh_brute_force", "ssh_banner_grab", "ftp_brute_force", "ftp_banner_grab", "http_banner_grab", "http_enumeration", "exploit_payload")
+
+
+def connection_hits(packets: DataFrame, cfg: DetectorConfig) -> dict[str, DataFrame]:
+    """Rows of the detectors that judge whole connections, with the client as source whoever sent the packet that raised them."""
+    conn = S.connections(S.connection_segments(packets, cfg.us("connection_idle_timeout")), (*S.CONNECTION, "connection"))
+    thresholds = {"ssh": (cfg.ssh_banner_grab_threshold, "ssh_banner_grab_window"), "ftp": (cfg.ftp_grab_threshold, "ftp_enum_window"), "http": (cfg.http_banner_grab_threshold, "http_banner_grab_window")}
+    shells = S.shell_scores(conn, cfg.us("reverse_shell_min_duration")).where("alert").withColumn("ts_us", F.coalesce("closed_us", "last_us"))
+    hits = {
+        "ssh_brute_force": S.ssh_brute_force(conn, cfg.us("ssh_brute_force_window"), cfg.ssh_brute_force_threshold), "ftp_brute_force": S.ftp_brute_force(conn, cfg.us("ftp_brute_force_window"), cfg.ftp_brute_force_threshold),
+        **{f"{k}_banner_grab": S.banner_grabs(conn, cfg.us(window), n).where(F.col("kind") == k) for k, (n, window) in thresholds.items()},
+        "reverse_shell": shells, "exploit_payload": S.exploit_payloads(conn).withColumn("ts_us", F.col("last_us")),
+    }
+    sides = {"src_ip": F.col("client_ip"), "src_port": F.col("client_port"), "dst_ip": F.col("server_ip"), "dst_port": F.col("service_port"), "protocol": F.lit("TCP")}
+    return {name: h.withColumns(sides) for name, h in hits.items()}
+
+
+def multi_stage_hits(hits: dict[str, DataFrame], window_us: int) -> DataFrame:
+    """Reverse shells to a host that had looked the client over: the attacker is the source."""
+    edges = [h.select("ts_us", F.col("src_ip").alias("attacker"), F.col("dst_ip").alias("victim")) for name, h in hits.items() if name in RECON]
+    calls = hits["reverse_shell"].select("packet_id", "ts_us", F.col("src_ip").alias("client"), F.col("dst_ip").alias("server"))
+    both = S.multi_stage(reduce(DataFrame.unionByName, edges), calls, window_us)
+    return both.select("packet_id", "ts_us", F.col("attacker").alias("src_ip"), F.col("victim").alias("dst_ip"), F.lit("TCP").alias("protocol"), "recon_us")
+
+
+def run_all(packets: DataFrame, cfg: DetectorConfig | None = None) -> DataFrame:
+    """Alerts of all detectors over one packet relation (cache it if it is costly); those on connections need payloads."""
+    cfg = cfg or DetectorConfig()
+    if not cfg.enable_ipv6 and "ip_version" in packets.columns:
+        packets = packets.where("ip_version IS NULL OR ip_version <> 6")
+    hits = packet_hits(packets, cfg)
+    if "payload" in packets.columns:
+        hits |= connection_hits(packets, cfg)
+        hits["multi_stage"] = multi_stage_hits(hits, cfg.us("correlation_window"))
     return reduce(DataFrame.unionByName, (as_alerts(h, name) for name, h in hits.items()))
+
+
+def suppress_banners(alerts: DataFrame, sid: int = 1_000_003, ports: tuple[int, ...] = (22, 2222), client: str = "from_client") -> DataFrame:
+    """Banner alerts of a rule: none on the service's own ports nor for the server's side; without event id, so that those of one service fold together.
+
+    ``from_client`` says whether the client sent the packet; a missing one counts as yes.
+    """
+    mine = F.col("sid") == sid
+    usual = F.coalesce(F.col("src_port").isin(*ports), F.lit(False)) | F.coalesce(F.col("dst_port").isin(*ports), F.lit(False))
+    server = ~F.coalesce(F.col(client), F.lit(True)) if client in alerts.columns else F.lit(False)
+    return alerts.where(~(mine & (usual | server))).withColumn("event_id", F.when(~mine, F.col("event_id")))

@@ -19,6 +19,9 @@ PORT_VARIABLES = {"HTTP_PORTS": "80,8080,8000", "HTTPS_PORTS": "443,8443", "SSH_
 ACTIONS, DIRECTIONS = ("alert", "log"), ("->", "<>", "<-")
 PROTOCOLS = ("ip", "tcp", "udp", "icmp", "icmpv6", "arp", "ipv6")
 OPTIONS = frozenset("msg sid gid rev content pcre regex nocase priority classtype severity threshold suppression_key flow offset depth distance within".split())
+#: Buffers and services that rules may name (fixed values).
+BUFFERS = ("payload", "stream", "http_uri", "http_method", "http_host", "http_user_agent", "http_headers", "dns_query", "dns_response", "tls_handshake", "tcp", "udp", "icmp")
+SERVICES = ("HTTP", "DNS", "TLS", "SSH", "FTP", "SMTP", "SMB", "ICMP", "GENERIC_TCP", "GENERIC_UDP")
 #: Protocols that a rule for IP also covers, and those that need no content.
 IP_FAMILY = ("IP", "IPV6", "TCP", "UDP", "ICMP", "ICMPV6")
 BARE = ("ICMP", "ICMPV6", "ARP")
@@ -118,12 +121,40 @@ def parse_rule(text: str, variables: dict[str, str] | None = None) -> dict:
     return record(
         {
             "action": action.upper(), "protocol": protocol.upper(), "src_ip": src, "dst_ip": dst, "src_port": sport, "dst_port": dport, "direction": arrow, "content": options.get("content", []), "regex": one("pcre", one("regex")), "nocase": "nocase" in options, "message": one("msg", ""), "rule_text": text.strip(),
-            "severity": one("severity"), "category": one("classtype"), "suppression_key": one("suppression_key"), **{k: one(k) for k in ("sid", "gid", "rev", "priority", "offset", "depth", "distance", "within")},
+            "severity": one("severity"), "category": one("classtype"), "suppression_key": one("suppression_key"), "threshold": _pairs("threshold", one("threshold")), "flow": one("flow"), **{k: one(k) for k in ("sid", "gid", "rev", "priority", "offset", "depth", "distance", "within")},
         },
         variables,
     )
 
 
+def _pairs(field: str, text: str | None) -> dict | None:
+    """``count 5, seconds 60`` (or with colons) as numbers by name; other names are passed on as text."""
+    if not text:
+        return None
+    out: dict = {}
+    for part in text.split(","):
+        name, _, value = part.strip().replace(":", " ").partition(" ")
+        if not value:
+            raise RuleError(field, f"can't read {part.strip()!r}")
+        out[name.lower()] = int(value) if value.strip().isdigit() else value.strip()
+    return out
+
+
+#: Words of the flow option and the directions that they ask for.
+FLOW_WORDS = {"to_server": "to_server", "from_client": "to_server", "to_client": "to_client", "from_server": "to_client"}
+
+
+def _flow(text: str | None) -> str | None:
+    """The direction that a flow option asks for; ``established`` and ``stateless`` ask for none."""
+    words = [w.strip().lower() for w in (text or "").split(",") if w.strip()]
+    if unknown := [w for w in words if w not in FLOW_WORDS and w not in ("established", "stateless", "any")]:
+        raise RuleError("flow", f"unknown: {', '.join(unknown)}")
+    found = {FLOW_WORDS[w] for w in words if w in FLOW_WORDS}
+    if len(found) > 1:
+        raise RuleError("flow", "both directions")
+    return next(iter(found), None)
+
+
 def record(given: dict, variables: dict[str, str] | None = None) -> dict:
     """Checks and completes the fields of a rule, from text or JSON."""
     number = lambda k, default: default if given.get(k) in (None, "") else int(given[k])
@@ -150,9 +181,17 @@ def record(given: dict, variables: dict[str, str] | None = None) -> dict:
     if not content and not given.get("regex") and protocol not in BARE:
         raise RuleError("content", f"a rule for {protocol} needs content or a regular expression")
     threshold = given.get("threshold") or {}
+    if threshold and not (isinstance(threshold, dict) and all(isinstance(threshold.get(k), int) and threshold[k] > 0 for k in ("count", "seconds"))):
+        raise RuleError("threshold", "positive count and seconds are needed")
+    if (direction := given.get("direction") or "->") not in DIRECTIONS:
+        raise RuleError("direction", f"{direction} is not one of {', '.join(DIRECTIONS)}")
+    if given.get("buffer") and given["buffer"] not in BUFFERS:
+        raise RuleError("buffer", f"{given['buffer']} is not one of {', '.join(BUFFERS)}")
+    if given.get("service") and given["service"].upper() not in SERVICES:
+        raise RuleError("service", f"{given['service']} is not one of {', '.join(SERVICES)}")
     return out | {
         "action": (given.get("action") or "ALERT").upper(), "protocol": protocol, "src_ip": given.get("src_ip") or "any", "dst_ip": given.get("dst_ip") or "any", "src_ports": parse_ports(given.get("src_port"), variables, "src_port"), "dst_ports": parse_ports(given.get("dst_port"), variables, "dst_port"),
-        "direction": given.get("direction") or "->", "service": given.get("service"), "buffer": given.get("buffer"), "content": content, "regex": given.get("regex"), "nocase": bool(given.get("nocase")), "threshold_count": threshold.get("count"), "threshold_seconds": threshold.get("seconds"),
+        "direction": direction, "flow": _flow(given.get("flow")), "service": given.get("service"), "buffer": given.get("buffer"), "content": content, "regex": given.get("regex"), "nocase": bool(given.get("nocase")), "threshold_count": threshold.get("count"), "threshold_seconds": threshold.get("seconds"),
         "suppression_key": given.get("suppression_key"), "category": given.get("category"), "severity": (given.get("severity") or "LOW").upper(), "message": message, "rule_text": given.get("rule_text"), "enabled": given.get("enabled", True),
     }
 
@@ -176,7 +215,10 @@ def rule_text(r: dict) -> str:
     options = [f"msg:{quote(r['message'])}", *(f"content:{quote(hexed(c))}" for c in r["content"])]
     options += [f"regex:{quote(r['regex'])}"] if r["regex"] else []
     options += ["nocase"] if r["nocase"] else []
-    options += [f"{k}:{r[k]}" for k in ("offset", "depth", "distance", "within") if r[k]] + [f"severity:{r['severity']}", f"priority:{r['priority']}", f"sid:{r['sid']}", f"gid:{r['gid']}", f"rev:{r['rev']}"]
+    options += [f"{k}:{r[k]}" for k in ("offset", "depth", "distance", "within") if r[k] is not None and (r[k] or k != "offset")]
+    options += [f"threshold:count {r['threshold_count']}, seconds {r['threshold_seconds']}"] if r["threshold_count"] else []
+    options += [f"flow:{r['flow']}"] if r.get("flow") else []
+    options += [f"severity:{r['severity']}", f"priority:{r['priority']}", f"sid:{r['sid']}", f"gid:{r['gid']}", f"rev:{r['rev']}"]
     return f"{r['action'].lower()} {r['protocol'].lower()} {r['src_ip']} {canonical_ports(r['src_ports'])} {r['direction']} {r['dst_ip']} {canonical_ports(r['dst_ports'])} ({'; '.join(options)};)"
 
 
@@ -201,26 +243,44 @@ def contains_in(text: Column, value: bytes, nocase: bool = False, offset: int =
     return F.contains(F.translate(part, _UPPER, _LOWER), F.lit(want.translate(str.maketrans(_UPPER, _LOWER)))) if nocase else F.contains(part, F.lit(want))
 
 
-def chain_position(text: Column, values: list[bytes], distance: int | None = None, within: int | None = None, offset: int = 0) -> Column:
+def chain_position(text: Column, values: list[bytes], distance: int | None = None, within: int | None = None, offset: int = 0, depth: int | None = None, nocase: bool = False) -> Column:
     """Where the first value of an ordered chain starts (from 1), or 0 if the chain doesn't hold.
 
     Each value is looked for from the end of the one before plus ``distance``;
-    with ``within`` it has to end at most so far behind that end. The first place
-    counts, there is no going back.
+    with ``within`` it has to end at most so far behind that place, and all have
+    to lie in [offset, offset + depth). The first place counts, there is no going
+    back.
     """
+    if nocase:
+        text, values = F.translate(text, _UPPER, _LOWER), [v.lower() for v in values]  # of bytes, only A-Z change
+    if depth is not None:
+        text = F.substring(text, 1, offset + depth)
     first = F.call_function("locate", F.lit(values[0].decode("latin-1")), text, F.lit(offset + 1))
     start, ok, end = first, first > 0, first + len(values[0])
     for v in values[1:]:
-        at = F.call_function("locate", F.lit(v.decode("latin-1")), text, end + (distance or 0))
+        begin = end + (distance or 0)
+        at = F.call_function("locate", F.lit(v.decode("latin-1")), text, begin)
         ok = ok & (at > 0)
         if within is not None:
-            ok = ok & (at + len(v) <= end + within)
+            ok = ok & (at + len(v) <= begin + within)
         end = at + len(v)
     return F.when(ok, start).otherwise(0)
 
 
+def is_chain(r: dict) -> bool:
+    """Whether the contents of a rule have to come in order; without distance and within each may stand anywhere."""
+    return len(r["content"]) > 1 and (r["distance"] is not None or r["within"] is not None)
+
+
 def condition(r: dict, columns: set[str], text: Column | None) -> Column:
-    """One rule as a condition on packets; cheap tests come first."""
+    """One rule as a condition on packets; cheap tests come first. Rules that need a text don't hold without one.
+
+    Contents and patterns are looked for in the rule's buffer where the packets
+    have a column of its name (``http_uri`` and so on), in ``text`` for the
+    payload; a rule for a buffer that isn't there doesn't hold. A service and the
+    direction of a flow (column ``dir``: c2s, s2c) are asked where there is such a
+    column.
+    """
     parts: list[Column] = []
     if r["protocol"] != "IP":
         parts.append(F.upper("protocol") == r["protocol"])
@@ -234,9 +294,15 @@ def condition(r: dict, columns: set[str], text: Column | None) -> Column:
     parts.append(every(forward) if r["direction"] == "->" else every(backward) if r["direction"] == "<-" else every(forward) | every(backward))
     if r["service"] and "service" in columns:
         parts.append(F.upper("service") == r["service"].upper())
-    if text is not None:
-        if len(r["content"]) > 1 and (r["distance"] is not None or r["within"] is not None):
-            parts.append(chain_position(text, r["content"], r["distance"], r["within"], r["offset"]) > 0)
+    if r.get("flow") and "dir" in columns:
+        parts.append(F.col("dir") == ("c2s" if r["flow"] == "to_server" else "s2c"))
+    if r["buffer"] and r["buffer"] != "payload":
+        text = F.col(r["buffer"]) if r["buffer"] in columns else None
+    if r["content"] or r["regex"]:
+        if text is None:
+            return F.lit(False)
+        if is_chain(r):
+            parts.append(chain_position(text, r["content"], r["distance"], r["within"], r["offset"], r["depth"], r["nocase"]) > 0)
         else:
             parts += [contains_in(text, c, r["nocase"], r["offset"], r["depth"]) for c in r["content"]]
         if r["regex"]:
@@ -244,39 +310,119 @@ def condition(r: dict, columns: set[str], text: Column | None) -> Column:
     return F.coalesce(every(parts), F.lit(False))
 
 
+def evidence(r: dict) -> str:
+    """What a match of the rule is put down to."""
+    found = ", ".join(c.decode("utf-8", "replace") for c in r["content"]) or "protocol match"
+    return f"payload_match={found}"
+
+
 def match(packets: DataFrame, rules: list[dict], text: Column | None = None, most: int | None = None) -> DataFrame:
-    """Packets with the rules that match them: sid, rule_order, severity, priority and message.
+    """Packets with the rules that match them: sid, rule_order, severity, priority, message, evidence and explanation.
 
-    The rules become one array expression, so each packet is read once, patterns
-    are compiled once, and nothing is joined. ``most`` keeps the first matches in
-    rule order of each packet.
+    The rules become one array, which the explode itself works out, so each packet
+    is read and each rule evaluated once, patterns are compiled once, and nothing
+    is joined. ``most`` keeps the first matches in rule order of each packet.
     """
     if text is None and "payload" in packets.columns:
         text = latin(F.col("payload"))
+    protocol = F.upper("protocol")
     hits = [
-        F.when(condition(r, set(packets.columns), text), F.struct(F.lit(r["sid"]).cast("bigint").alias("sid"), F.lit(i).alias("rule_order"), F.lit(r["severity"]).alias("severity"), F.lit(r["priority"]).alias("priority"), F.lit(r["message"]).alias("message")))
+        F.when(
+            condition(r, set(packets.columns), text),
+            F.struct(
+                F.lit(r["sid"]).cast("bigint").alias("sid"), F.lit(i).alias("rule_order"), F.lit(r["severity"]).alias("severity"), F.lit(r["priority"]).alias("priority"), F.lit(r["message"]).alias("message"),
+                F.concat(F.lit("protocol="), protocol, F.lit("; " + evidence(r))).alias("evidence"), F.concat(F.lit(f"rule {r['sid']} matched buffer {r['buffer'] or 'payload'} on protocol "), protocol).alias("explanation"),
+            ),
+        )
         for i, r in enumerate(rules) if r["enabled"]
     ]
+    added = ["sid", "rule_order", "severity", "priority", "message", "evidence", "explanation"]
+    kept = [c for c in packets.columns if c not in added]
     if not hits:
-        return packets.limit(0).selectExpr("*", "0L AS sid", "0 AS rule_order", "'' AS severity", "0 AS priority", "'' AS message")
+        return packets.limit(0).select(*kept).selectExpr("*", "0L AS sid", "0 AS rule_order", "'' AS severity", "0 AS priority", "'' AS message", "'' AS evidence", "'' AS explanation")
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
     found = F.slice(found, 1, most) if most else found
-    return packets.withColumn("__hits", found).where(F.size("__hits") > 0).withColumn("__hit", F.explode(F.concat("__hits", F.array()))).select(*packets.columns, "__hit.*")
+    return packets.select(*kept, F.explode(found).alias("__hit")).select(*kept, "__hit.*")
 
 
-def match_many(packets: DataFrame, rules: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
-    """Rules as a table, for sets too large for one expression: an equi-join on the protocol with the ports and contents as residual condition.
+def _net_bounds(c: str) -> tuple[Column, Column]:
+    """First and last address of an IPv4 net or address in a column; null for any and for IPv6."""
+    ip, bits = F.substring_index(c, "/", 1), F.when(F.contains(c, F.lit("/")), F.substring_index(c, "/", -1).try_cast("int")).otherwise(32)
+    size = F.shiftleft(F.lit(1).cast("bigint"), 0) * F.pow(F.lit(2.0), 32 - bits).cast("bigint")
+    first = F.floor(net.ip_long(ip) / size).cast("bigint") * size
+    return first, first + size - 1
+
 
-    The rules are broadcast if they are at most ``broadcast_rows``; beyond it the
-    planner shuffles both sides by protocol and splits skewed ones.
+def match_many(packets: DataFrame, rules: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
+    """Rules as a table (``schema.RULES``), for sets too large for one expression: an equi-join on the protocol, all else as residual condition.
+
+    Gives the rows of ``match`` (packet columns, rule_sid, rule_rev,
+    rule_severity, rule_message) for rules with the same meaning: direction,
+    ports, IPv4 nets (other addresses as text), service, flow, offset, depth, ordered
+    chains, case and regular expressions. The rules are broadcast if they are at
+    most ``broadcast_rows``; beyond it the planner shuffles both sides by protocol
+    and splits skewed ones.
     """
-    text = latin(F.col("payload"))
-    family = F.when(F.col("r.protocol") == "IP", F.lit(list(IP_FAMILY))).otherwise(F.array("r.protocol"))
-    r = rules.where("enabled").alias("r").select(F.explode(family).alias("__protocol"), *(F.col(f"r.{c}").alias(f"rule_{c}") for c in ("sid", "rev", "src_ports", "dst_ports", "content", "nocase", "severity", "message")))
+    fold = lambda on, c: F.when(on, F.translate(c, _UPPER, _LOWER)).otherwise(c)
+    family = F.when(F.col("protocol") == "IP", F.lit(list(IP_FAMILY))).otherwise(F.array("protocol"))
+    names = [f.name for f in schema.RULES if f.name != "protocol"]
+    r = rules.where("enabled").select(F.explode(family).alias("__protocol"), *(F.col(c).alias(f"rule_{c}") for c in names))
+    for side in ("src", "dst"):
+        first, last = _net_bounds(f"rule_{side}_ip")
+        r = r.withColumns({f"rule_{side}_first": first, f"rule_{side}_last": last})
+    r = r.withColumn("rule_content", F.transform("rule_content", lambda c: fold(F.col("rule_nocase"), latin(c))))
+    r = r.withColumn("rule_regex", F.when(F.col("rule_nocase"), F.concat(F.lit("(?i)"), "rule_regex")).otherwise(F.col("rule_regex")))
     r = F.broadcast(r) if rules.count() <= broadcast_rows else r
-    ports = net.port_matches(F.col("src_port"), F.col("rule_src_ports")) & net.port_matches(F.col("dst_port"), F.col("rule_dst_ports"))
-    content = F.forall("rule_content", lambda c: F.when(F.col("rule_nocase"), F.contains(F.translate(text, _UPPER, _LOWER), F.translate(latin(c), _UPPER, _LOWER))).otherwise(F.contains(text, latin(c))))
-    return packets.join(r, (F.upper(packets["protocol"]) == r["__protocol"]) & ports & content).drop("__protocol", "rule_src_ports", "rule_dst_ports", "rule_content", "rule_nocase")
+
+    def there(ip: str, side: str) -> Column:
+        want, n = F.col(f"rule_{side}_ip"), net.ip_long(F.col(ip))
+        return (want == "any") | F.coalesce(n.between(F.col(f"rule_{side}_first"), F.col(f"rule_{side}_last")), F.col(ip) == want, F.lit(False))
+
+    def headed(src: str, dst: str) -> Column:
+        return net.port_matches(F.col(f"{src}_port"), F.col("rule_src_ports")) & net.port_matches(F.col(f"{dst}_port"), F.col("rule_dst_ports")) & there(f"{src}_ip", "src") & there(f"{dst}_ip", "dst")
+
+    way = F.col("rule_direction")
+    header = F.when(way == "->", headed("src", "dst")).when(way == "<-", headed("dst", "src")).otherwise(headed("src", "dst") | headed("dst", "src"))
+    if "service" in packets.columns:
+        header = header & (F.col("rule_service").isNull() | (F.upper("service") == F.upper("rule_service")))
+    if "dir" in packets.columns:
+        header = header & (F.col("rule_flow").isNull() | (F.col("dir") == F.when(F.col("rule_flow") == "to_server", "c2s").otherwise("s2c")))
+    text = F.coalesce(latin(F.col("payload")), F.lit(None).cast("string"))
+    other = [b for b in BUFFERS if b != "payload" and b in packets.columns]
+    whole = F.when(F.coalesce(F.col("rule_buffer"), F.lit("payload")) == "payload", text)
+    for b in other:
+        whole = whole.when(F.col("rule_buffer") == b, F.col(b))
+    offset = F.coalesce("rule_offset", F.lit(0))
+    folded = fold(F.col("rule_nocase"), whole)
+    part = F.when(F.col("rule_depth").isNotNull(), F.substring(folded, 1, offset + F.col("rule_depth"))).otherwise(folded)
+    # the chain's state is the place after the last value found, 0 once one wasn't
+    distance, within = F.coalesce("rule_distance", F.lit(0)), F.col("rule_within")
+
+    def chained(state: Column, value: Column, i: Column) -> Column:
+        begin = state + F.when(i == 0, 0).otherwise(distance)
+        at = F.call_function("locate", value, part, begin)
+        near = (i == 0) | within.isNull() | (at + F.length(value) <= begin + within)
+        return F.when((state > 0) & (at > 0) & near, at + F.length(value)).otherwise(0)
+
+    steps = F.transform("rule_content", lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+    chain = F.aggregate(steps, offset + 1, lambda s, e: chained(s, e["v"], e["i"])) > 0
+    anywhere = F.forall("rule_content", lambda v: F.contains(F.substring(part, offset + 1, F.lit(2**31 - 1)), v))
+    ordered = (F.size("rule_content") > 1) & (F.col("rule_distance").isNotNull() | within.isNotNull())
+    content = (F.size("rule_content") == 0) | F.coalesce(F.when(ordered, chain).otherwise(anywhere), F.lit(False))
+    pattern = F.col("rule_regex").isNull() | F.coalesce(F.regexp_like(whole, F.col("rule_regex")), F.lit(False))
+    out = packets.join(r, (F.upper(packets["protocol"]) == r["__protocol"]) & header & content & pattern)
+    return out.select(*packets.columns, "rule_sid", "rule_rev", "rule_severity", "rule_message")
+
+
+def thresholded(matches: DataFrame, rules: list[dict], keys: tuple[str, ...] = ("src_ip",)) -> DataFrame:
+    """Matches that raise alerts: all of rules without a threshold, and of the others those at which the rule's own count within its own seconds is reached."""
+    bounds = {r["sid"]: (r["threshold_count"], r["threshold_seconds"] * 1_000_000) for r in rules if r["threshold_count"]}
+    plain = matches.where(~F.col("sid").isin(*bounds)) if bounds else matches
+    by_bound: dict[tuple[int, int], list[int]] = {}
+    for sid, bound in bounds.items():
+        by_bound.setdefault(bound, []).append(sid)
+    parts = [enforce_threshold(matches.where(F.col("sid").isin(*sids)), [*keys, "sid"], n, w).drop("n") for (n, w), sids in sorted(by_bound.items())]
+    return reduce(DataFrame.unionByName, parts, plain)
 
 
 def enforce_threshold(matches: DataFrame, keys: list[str], count: int, window_us: int) -> DataFrame:

@@ -141,11 +141,23 @@ def loss_percent(received: Column, dropped: Column) -> Column:
 
 
 #: Points of an interface for being chosen (fixed values).
-INTERFACE_POINTS = {"up": 40, "running": 25, "has_ipv4": 20, "default_route": 30, "has_ipv6": 10, "wired": 5, "has_mac": 15, "preferred": 5, "virtual": -10, "no_address": -40, "loopback": -50, "down": -60}
+INTERFACE_POINTS = {"capture_capable": 40, "operational": 25, "link_up": 20, "default_route": 30, "has_ipv4": 10, "has_ipv6": 5, "not_loopback": 15, "physical": 5, "virtual": -10, "link_down": -40, "loopback": -50, "admin_down": -60}
 
 
 def rank_interfaces(inventory: DataFrame) -> DataFrame:
-    """Interfaces (boolean columns of INTERFACE_POINTS, stable_id, name) by score; loopback and down ones aren't suitable."""
-    points = [F.when(F.coalesce(F.col(c), F.lit(False)), p).otherwise(0) for c, p in INTERFACE_POINTS.items() if c in inventory.columns]
-    out = inventory.withColumn("score", reduce(lambda a, b: a + b, points, F.lit(0))).withColumn("suitable", ~(F.coalesce(F.col("loopback"), F.lit(False)) | F.coalesce(F.col("down"), F.lit(False))))
-    return out.orderBy(F.desc("suitable"), F.desc("score"), "stable_id", "name")
+    """Interfaces by score, with the reason.
+
+    ``inventory`` has stable_id, name and any of the boolean columns
+    capture_capable, admin_down, operational, operational_down, link_up,
+    link_down, default_route, has_ipv4, has_ipv6, loopback, physical (wired or
+    wireless) and virtual. Suitable ones can capture and aren't down.
+    """
+    has = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in inventory.columns else F.lit(False)
+    flag = {c: has(c) for c in INTERFACE_POINTS} | {"not_loopback": ~has("loopback")}
+    score = reduce(lambda a, b: a + b, (F.when(flag[c], p).otherwise(0) for c, p in INTERFACE_POINTS.items()))
+    reason = (
+        F.when(~has("capture_capable"), "can't capture").when(has("admin_down"), "switched off").when(has("operational_down"), "not operational").when(has("link_down"), "no link").when(has("default_route"), "default route")
+        .when(has("virtual"), "virtual or tunnel").when(has("loopback"), "loopback").when(has("has_ipv4") | has("has_ipv6"), "has an address").otherwise("can capture")
+    )
+    suitable = has("capture_capable") & ~has("admin_down") & ~has("operational_down") & ~has("link_down")
+    return inventory.withColumns({"score": score, "suitable": suitable, "reason": reason}).orderBy(F.desc("suitable"), F.desc("score"), "stable_id", "name")

@@ -5,7 +5,7 @@ Times are whole microseconds (``ts_us``), rows with one time see each other.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,24 +60,34 @@ def first_per_island(df: DataFrame, keys: list[str], window_us: int, threshold:
 def anchored(df: DataFrame, keys: list[str], window_us: int, strict: bool = False) -> DataFrame:
     """Rows that open a window of their key: the first, and each that comes more than ``window_us`` after the last opener.
 
-    Rows inside a window don't extend it, so this is an ordered fold. A key's
-    rows are first cut at gaps over the window, where every fold starts anew, so
-    one task folds a stretch without such a gap. With ``strict`` a window ends at
-    (not after) ``window_us``.
+    Rows inside a window don't extend it, so this is an ordered fold, which
+    starts anew after a gap over the window. The first row after a gap opens, and
+    rows within the window of it can't, so window functions answer for all short
+    stretches. What is left passes through Python in Arrow batches, in the
+    order of the window's own sort and with one number of state, so a key of any
+    length needs no memory and no further shuffle. With ``strict`` a window ends
+    at (not after) ``window_us``.
     """
-    cut = islands(df, keys, window_us, "__island")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "packet_id"], kind="stable")
-        keep, last = [], None
-        for t in pdf["ts_us"].tolist():
-            opens = last is None or (t - last >= window_us if strict else t - last > window_us)
-            keep.append(opens)
-            if opens:
-                last = t
-        return pdf[keep]
-
-    return cut.groupBy(*keys, "__island").applyInPandas(fold, cut.schema).drop("__island")
+    w = _over(keys).orderBy("ts_us", "packet_id")
+    before = F.lag("ts_us").over(w)
+    fresh = before.isNull() | (F.col("ts_us") - before > window_us)
+    late = F.col("ts_us") - F.max(F.when(F.col("__fresh"), F.col("ts_us"))).over(w)
+    cut = df.withColumn("__fresh", fresh).withColumn("__late", late)
+    cut = cut.where(F.col("__fresh") | (F.col("__late") >= window_us if strict else F.col("__late") > window_us)).drop("__late")
+    least = window_us if strict else window_us + 1
+    ts, first, width = cut.columns.index("ts_us"), len(cut.columns) - 1, len(df.columns)
+
+    def fold(batches):
+        last = 0
+        for b in batches:
+            keep = []
+            for i, (t, new) in enumerate(zip(b.column(ts).to_pylist(), b.column(first).to_pylist(), strict=True)):
+                if new or t - last >= least:
+                    keep.append(i)
+                    last = t
+            yield b.select(range(width)).take(pa.array(keep, pa.int64()))
+
+    return cut.sortWithinPartitions(*keys, "ts_us", "packet_id").mapInArrow(fold, df.schema)
 
 
 def first_seen_distinct(df: DataFrame, keys: list[str], value: str, window_us: int, out: str = "n") -> DataFrame:

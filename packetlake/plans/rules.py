@@ -57,7 +57,7 @@ def rule_regex_match(spark, sf_dir):
 @query("""
 WITH a AS (SELECT doc_id, text, strpos(text, 'icense') AS p1 FROM documents), b AS (SELECT *, CASE WHEN p1 > 0 THEN strpos(substr(text, p1 + 8), 'ersion') ELSE 0 END AS q FROM a),
 c AS (SELECT *, p1 + 7 + q AS p2 FROM b WHERE q > 0)
-SELECT doc_id AS packet_id, CAST(p1 AS INT) AS position FROM c WHERE p2 + 6 <= p1 + 6 + 60""")
+SELECT doc_id AS packet_id, CAST(p1 AS INT) AS position FROM c WHERE p2 + 6 <= p1 + 6 + 2 + 60""")
 def rule_content_chain(spark, sf_dir):
     d = _documents(spark, sf_dir).withColumn("position", R.chain_position(F.col("text"), [b"icense", b"ersion"], distance=2, within=60))
     return d.where("position > 0").select("packet_id", "position")

@@ -27,7 +27,7 @@ PACKETS = _struct("""
 """)
 
 RULES = _struct("""
-    gid INT, sid BIGINT, rev INT, action STRING, protocol STRING, src_ip STRING, dst_ip STRING, src_ports RANGES, dst_ports RANGES, direction STRING,
+    gid INT, sid BIGINT, rev INT, action STRING, protocol STRING, src_ip STRING, dst_ip STRING, src_ports RANGES, dst_ports RANGES, direction STRING, flow STRING,
     service STRING, buffer STRING, content BINARIES, regex STRING, nocase BOOLEAN, offset INT, depth INT, distance INT, within INT, threshold_count INT, threshold_seconds INT, suppression_key STRING,
     category STRING, severity STRING, priority INT, message STRING, rule_text STRING, enabled BOOLEAN
 """)

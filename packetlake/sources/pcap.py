@@ -61,7 +61,8 @@ def _split(batches):
 
 def _frames(files: DataFrame) -> DataFrame:
     rows = files.select("path", "content").mapInArrow(_split, _ROWS)
-    number = F.xxhash64("file").bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(1 << 32) + F.col("number")
+    # a file that Spark reads as one value has under 2**27 records, which leaves 36 bits for the file: a clash gets likely at some 300,000 files
+    number = F.xxhash64("file").bitwiseAND(F.lit((1 << 36) - 1)) * F.lit(1 << 27) + F.col("number")
     return rows.select(number.alias("packet_id"), "file", F.timestamp_micros("ts_us").alias("ts"), "ts_us", "captured_length", "original_length", "frame")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -41,7 +42,7 @@ def sliding_alerts(packets: DataFrame, keys: list[str], value: str | None, windo
             state.remove()
             return
         times, values, before = state.get if state.exists else ([], [], 0)
-        times, values = list(times), list(values)
+        window, counts = deque(zip(times, values, strict=True)), Counter(values)
         pdf = pd.concat(list(batches)).sort_values(["ts_us", "packet_id"], kind="stable")
         out = []
         rows = list(zip(pdf["ts_us"].tolist(), pdf["packet_id"].tolist(), pdf["__value"].tolist(), strict=True))
@@ -50,16 +51,23 @@ def sliding_alerts(packets: DataFrame, keys: list[str], value: str | None, windo
             j = i
             while j < len(rows) and rows[j][0] == rows[i][0]:  # rows of one time see each other
                 if rows[j][2] is not None:
-                    times.append(rows[j][0])
-                    values.append(rows[j][2])
+                    late = bool(window) and rows[j][0] < window[-1][0]
+                    window.append((rows[j][0], rows[j][2]))
+                    if late:
+                        window = deque(sorted(window))
+                    counts[rows[j][2]] += 1
                 j += 1
             now = rows[i][0]
-            live = [k for k, t in enumerate(times) if t >= now - window_us]
-            times, values = [times[k] for k in live], [values[k] for k in live]
-            n = len(set(values)) if value else len(times)
+            while window and window[0][0] < now - window_us:
+                gone = window.popleft()[1]
+                counts[gone] -= 1
+                if not counts[gone]:
+                    del counts[gone]
+            n = len(counts) if value else len(window)
             if n >= threshold > before:
                 out.append((*key, rows[i][1], now, n))
             before, i = n, j
+        times, values = [t for t, _ in window], [v for _, v in window]
         state.update((times, values, before))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (max(times, default=0) + window_us) // 1000 + 1))
         if out:

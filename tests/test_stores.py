@@ -87,8 +87,12 @@ def test_rules_table_and_reset(spark, tmp_path):
 
 
 def test_interfaces(spark):
-    df = spark.createDataFrame([("a", "lo", True, True, False), ("b", "eth0", True, False, True), ("c", "eth1", True, False, False)], "stable_id STRING, name STRING, up BOOLEAN, loopback BOOLEAN, default_route BOOLEAN").withColumn("down", F.lit(False))
-    assert [r["name"] for r in store.rank_interfaces(df).collect()] == ["eth0", "eth1", "lo"]
+    fields = ("capture_capable", "operational", "link_up", "default_route", "has_ipv4", "has_ipv6", "loopback", "physical", "virtual", "link_down", "admin_down")
+    yes = lambda *on: tuple(f in on for f in fields)
+    rows = [("a", "lo", *yes("capture_capable", "operational", "link_up", "has_ipv4", "loopback")), ("b", "eth0", *yes("capture_capable", "operational", "link_up", "default_route", "has_ipv4", "has_ipv6", "physical")), ("c", "tun0", *yes("capture_capable", "operational", "link_up", "virtual")), ("d", "eth1", *yes("capture_capable", "link_down", "physical")), ("e", "eth2", *yes("operational", "link_up")), ("f", "eth3", *yes("capture_capable", "admin_down"))]
+    df = spark.createDataFrame(rows, "stable_id STRING, name STRING, " + ", ".join(f"{f} BOOLEAN" for f in fields))
+    got = [(r["name"], r["score"], r["suitable"], r["reason"]) for r in store.rank_interfaces(df).collect()]
+    assert got == [("eth0", 150, True, "default route"), ("tun0", 90, True, "virtual or tunnel"), ("lo", 45, True, "loopback"), ("eth2", 60, False, "can't capture"), ("eth1", 20, False, "no link"), ("eth3", -5, False, "switched off")]
 
 
 def test_fragments(spark):
