@@ -22,6 +22,7 @@ smallest is the query. With k candidates or fewer all of them are returned.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -31,8 +32,12 @@ from pyspark.sql import functions as F
 
 from .durable import saved
 
-#: Degrees of freedom, the test's confidence, points in a leaf, in a cell, in the sample for the cells, queries in a group.
-DIMS, CONFIDENCE, LEAF, CELL, SAMPLE, GROUP = 8, 0.9, 48, 16_384, 20_000, 20_000
+#: Degrees of freedom, the test's confidence, points in a leaf, in a cell, queries of a cell that are searched in one group.
+DIMS, CONFIDENCE, LEAF, CELL, GROUP = 8, 0.9, 48, 16_384, 20_000
+#: The cells are fitted on about so many projections, and on so many for each cell at least.
+SAMPLE, EACH = 20_000, 16
+#: Gaps between queries and cells worked out together.
+GAPS = 2_000_000
 #: Queries searched together.
 TOGETHER = 128
 
@@ -97,21 +102,22 @@ class Cells:
             node = 2 * node + (p[np.arange(len(p)), self.axis[node]] >= self.cut[node])
         return node - (1 << self.depth)
 
+    @functools.cached_property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper corner of each cell's region, level by level."""
+        lo, hi = np.full((1, DIMS), -np.inf), np.full((1, DIMS), np.inf)
+        for level in range(self.depth):
+            up = np.arange(1 << level, 2 << level)
+            a, c, at = self.axis[up], self.cut[up], np.arange(len(up))
+            lo, hi = np.repeat(lo, 2, axis=0), np.repeat(hi, 2, axis=0)
+            hi[2 * at, a] = np.minimum(hi[2 * at, a], c)
+            lo[2 * at + 1, a] = np.maximum(lo[2 * at + 1, a], c)
+        return lo, hi
+
     def gaps(self, p: np.ndarray) -> np.ndarray:
         """Squared projected distance of each point to each cell's region (a lower bound), point by cell."""
-        n = 1 << self.depth
-        lo, hi = np.full((n, DIMS), -np.inf), np.full((n, DIMS), np.inf)
-        for cell in range(n):
-            node = cell + n
-            while node > 1:
-                up = node >> 1
-                a, c = self.axis[up], self.cut[up]
-                if node & 1:
-                    lo[cell, a] = max(lo[cell, a], c)
-                else:
-                    hi[cell, a] = min(hi[cell, a], c)
-                node = up
-        out = np.zeros((len(p), n))
+        lo, hi = self.bounds
+        out = np.zeros((len(p), len(lo)))
         for a in range(DIMS):
             x = p[:, a : a + 1]
             out += np.maximum(np.maximum(lo[:, a] - x, x - hi[:, a]), 0) ** 2
@@ -205,15 +211,24 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         return empty
     size = sizes["size"]
     usable = usable.where(F.size(v) == size).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).dropDuplicates(["id", "v"])
-    total = usable.agg(F.count("*").alias("n"), F.count_if("q").alias("queries"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
+    total = usable.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     norm = math.sqrt(total["m"]) * (1 + 1e-12)
 
     first = Window.partitionBy("v").orderBy("id")
     points = usable.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     depth = max(0, math.ceil(math.log2(max(1, total["n"] / cell))))
     r = directions(size)
-    sample = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE if depth else 1).select("v").toPandas()["v"]
-    cells = Cells(lifted(np.array(sample.tolist(), float), norm) @ r, depth)
+    want = max(SAMPLE, EACH << depth) if depth else 1
+
+    def projected(batches):
+        for b in batches:
+            if b.num_rows:
+                p = lifted(_matrix(pa.Table.from_batches([b]).column("v"), size), norm) @ r
+                yield pa.RecordBatch.from_arrays([pa.array(p.tolist(), pa.list_(pa.float64()))], names=["p"])
+
+    share = usable.where(F.pmod(F.xxhash64("id"), F.lit(total["n"])) < want) if depth else usable.limit(1)
+    sample = share.select("v").mapInArrow(projected, "p array<double>").toPandas()["p"]
+    cells = Cells(np.array(sample.tolist(), float).reshape(-1, DIMS), depth)
 
     def place(batches):
         for b in batches:
@@ -223,8 +238,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
                 yield from t.append_column("cell", pa.array(c)).to_batches()
 
     points = points.select("v", "ids").mapInArrow(place, "v array<double>, ids array<long>, cell long")
-    groups = max(1, math.ceil(total["queries"] / GROUP))
-    queries = usable.where("q").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long").alias("grp"))
+    at = usable.where("q").groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("query_id"), "v")
 
     def home(batches):
         for b in batches:
@@ -242,21 +256,30 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
             p = lifted_queries(q, norm) @ r
             kth = np.array([-math.inf if x is None else x for x in t.column("kth").to_pylist()])
             d2 = np.where(np.isfinite(kth), 2 * norm**2 - 2 * norm * np.where(np.isfinite(kth), kth, 0) / np.sqrt((q * q).sum(1)), np.inf)
-            gaps = cells.gaps(p)
-            visit = chi_square(np.where(np.isfinite(d2)[:, None], gaps / np.maximum(d2, 1e-12)[:, None], 0)) < CONFIDENCE
-            visit[np.arange(len(q)), cells.find(p)] = False
-            row, c = np.nonzero(visit)
-            yield from t.select(["query_id", "v", "grp"]).take(row).append_column("cell", pa.array(c)).to_batches()
+            own, step = cells.find(p), max(1, GAPS >> depth)
+            for i in range(0, len(q), step):
+                some = slice(i, i + step)
+                visit = chi_square(np.where(np.isfinite(d2[some])[:, None], cells.gaps(p[some]) / np.maximum(d2[some], 1e-12)[:, None], 0)) < CONFIDENCE
+                visit[np.arange(len(visit)), own[some]] = False
+                row, c = np.nonzero(visit)
+                yield from t.select(["query_id"]).take(row + i).append_column("cell", pa.array(c)).to_batches()
 
     run = _cell_search(size, norm, k)
-    spread = points.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("grp", F.col("grp").cast("long"))  # points go once to each group of queries
-    at = queries.select(F.col("id").alias("query_id"), "v", "grp")
-    schema = "query_id long, v array<double>, grp long, cell long"
-    near = spread.groupBy("cell", "grp").cogroup(at.mapInArrow(home, schema).groupBy("cell", "grp")).applyInArrow(run, RESULT)
-    near = saved(near)
-    kths = near.groupBy("query_id").agg(F.max("kth").alias("kth"))
-    rest = at.join(kths, "query_id", "left").select("query_id", "v", "grp", "kth").mapInArrow(others, schema)
-    far = spread.groupBy("cell", "grp").cogroup(rest.groupBy("cell", "grp")).applyInArrow(run, RESULT)
+
+    def searched(visits: DataFrame) -> DataFrame:
+        """The best of each query (query_id, v, cell) in its cell. A cell that more than GROUP queries visit serves them in groups, each with a copy of its points."""
+        chunks = visits.groupBy("cell").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+        copies = points.join(chunks, "cell").select("v", "ids", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("grp"))
+        dealt = visits.join(chunks, "cell").select("query_id", "v", "cell", F.pmod(F.xxhash64("query_id"), F.col("chunks")).alias("grp"))
+        return copies.groupBy("cell", "grp").cogroup(dealt.groupBy("cell", "grp")).applyInArrow(run, RESULT)
+
+    near = saved(searched(at.mapInArrow(home, "query_id long, v array<double>, cell long")))
+    if not depth:
+        out = near
+    else:
+        kths = near.groupBy("query_id").agg(F.max("kth").alias("kth"))
+        rest = saved(at.join(kths, "query_id", "left").select("query_id", "v", "kth").mapInArrow(others, "query_id long, cell long"))
+        out = near.unionByName(searched(rest.join(at, "query_id")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = near.unionByName(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    out = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
