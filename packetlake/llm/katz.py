@@ -16,7 +16,8 @@ requests that hold every distinct n-gram of the block once:
 3. it scores its documents.
 
 A frequent history is spread over as many partitions as its share of all tokens
-asks for, so none grows with it. All counts cover the whole training set.
+asks for, so none grows with it; their figures meet at the history's home, which
+answers each block once. All counts cover the whole training set.
 
 Discounts: d_r = (r*/r - A) / (1 - A) with r* = (r+1) n_{r+1} / n_r and
 A = (CUT+1) n_{CUT+1} / n_1, for r <= CUT; where the figures don't give a value
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .batches import hash_words, lower_words, mix
-from .blocks import by_part, count, deal, dealt, pack, unpack
+from .blocks import ROWS, by_part, count, deal, dealt, pack, rows_table, unpack
 from .durable import saved
 
 CUT = 5
@@ -49,10 +50,6 @@ BLOCK_CHARS = 12_000_000
 #: The hash of the end token, which also opens every text.
 END = np.uint64(0x9E3779B97F4A7C15)
 
-ROWS = "block long, part long, a binary, b binary, c binary, d binary, e binary, f binary"
-EMPTY = b""
-
-
 def _text_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens of a block one after the other, each text's number of tokens, and for each token whether it trains."""
     parts, sizes = [], []
@@ -75,13 +72,6 @@ def _word_part(words: np.ndarray, parts: int) -> np.ndarray:
     return (mix(words) % np.uint64(parts)).astype(np.int64)
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    names = ("block", "part", "a", "b", "c", "d", "e", "f")
-    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
-    cols = list(zip(*((*r, *[EMPTY] * (8 - len(r))) for r in rows), strict=True)) if rows else [()] * 8
-    return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, cols, kinds, strict=True)})
-
-
 def _stats(counts: np.ndarray) -> np.ndarray:
     """N, V and n_1 ... n_{CUT+1} of a table partition."""
     seen = counts[counts > 0]
@@ -130,7 +120,7 @@ def _send_words(parts: int):
         c = np.bincount(at[train], minlength=len(words)).astype(np.uint32)
         order, runs = by_part(_word_part(words, parts))
         words, c = words[order], c[order]
-        return _table([(block, p, words[i:j].tobytes(), pack(c[i:j])) for p, i, j in runs])
+        return rows_table([(block, p, "words", words[i:j].tobytes(), pack(c[i:j])) for p, i, j in runs])
 
     return run
 
@@ -144,9 +134,9 @@ def _add_words(table: pa.Table) -> pa.Table:
     total = np.bincount(at, counts, len(words)).astype(np.int64)
     back, rows, i = total[at], [], 0
     for block, k in zip(blocks, keys, strict=True):
-        rows.append((block, part, pack(back[i : i + len(k)])))
+        rows.append((block, part, "words", pack(back[i : i + len(k)])))
         i += len(k)
-    return _table([*rows, (-1, part, _stats(total).tobytes())])
+    return rows_table([*rows, (-1, part, "stats", _stats(total).tobytes())])
 
 
 class _Block:
@@ -173,51 +163,52 @@ class _Block:
         home = (mixed % np.uint64(parts)).astype(np.int64)
         slot = (mix(mixed[self.w] + np.uint64(1)) % self.slots[self.h].astype(np.uint64)).astype(np.int64)
         self.part = (home[self.h] + slot) % parts
-        # histories to ask for: each of a block's in every partition it is spread over
-        own = np.unique(self.h)
-        many = self.slots[own]
-        self.ask = np.repeat(own, many)
-        nth = np.arange(len(self.ask)) - np.repeat(np.cumsum(many) - many, many)
-        self.ask_part = (home[self.ask] + nth) % parts
+        # histories in several partitions are asked for at their home, which adds up their parts
+        self.home = home
+        self.ask = np.unique(self.h[self.slots[self.h] > 1])
 
 
 def _send_pairs(uni: Unigrams, parts: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _table([])
+            return rows_table([])
         b = _Block(dealt(table), answers, uni, parts)
         block = table.column("block")[0].as_py()
         c = np.bincount(b.pair_at[b.train], minlength=len(b.pairs)).astype(np.uint32)
         order, runs = by_part(b.part)
-        ask_order, ask_runs = by_part(b.ask_part)
-        pairs = {p: (i, j) for p, i, j in runs}
         rows = []
-        for p, i, j in ask_runs:
-            asked = b.ask[ask_order[i:j]]
-            lo, hi = pairs.get(p, (0, 0))
-            sel = order[lo:hi]
-            # pairs are sorted by history, as are the asked ones: the number of pairs of each
-            k = np.searchsorted(b.h[sel], asked, side="right") - np.searchsorted(b.h[sel], asked)
+        for p, i, j in runs:
+            sel = order[i:j]
+            # pairs are sorted by history; how many each has, and whether the history has pairs elsewhere
+            hist, k = np.unique(b.h[sel], return_counts=True)
             # second words by their place in a list of the different ones
             own, code = np.unique(b.w[sel], return_inverse=True)
-            rows.append((block, p, b.words[asked].tobytes(), pack(k), b.words[own].tobytes(), pack(b.total[own]), pack(code.reshape(-1)), pack(c[sel])))
-        return _table(rows)
+            rows.append((block, p, "pairs", b.words[hist].tobytes(), pack(2 * k + (b.slots[hist] > 1)), b.words[own].tobytes(), pack(b.total[own]), pack(code.reshape(-1)), pack(c[sel])))
+        order, runs = by_part(b.home[b.ask])
+        rows += [(block, p, "ask", b.words[b.ask[order[i:j]]].tobytes()) for p, i, j in runs]
+        return rows_table(rows)
 
     return run
 
 
-def _add_pairs(uni: Unigrams):
+def _add_pairs(uni: Unigrams, parts: int):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
+        kind = np.array(table.column("kind").to_pylist(), object)
+        rows = [(r["block"], part, "ask", r["a"]) for r in table.filter(pa.array(kind == "ask")).select(["block", "a"]).to_pylist()]
+        table = table.filter(pa.array(kind == "pairs"))
+        if not table.num_rows:
+            return rows_table(rows)
         blocks = table.column("block").to_pylist()
-        asked = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
-        many = [unpack(x) for x in table.column("b").to_pylist()]
+        keys = [np.frombuffer(x, np.uint64) for x in table.column("a").to_pylist()]
+        marked = [unpack(x) for x in table.column("b").to_pylist()]
         codes = [unpack(x) for x in table.column("e").to_pylist()]
         w = np.concatenate([np.frombuffer(x, np.uint64)[k] for x, k in zip(table.column("c").to_pylist(), codes, strict=True)])
         wc = np.concatenate([unpack(x)[k] for x, k in zip(table.column("d").to_pylist(), codes, strict=True)])
         c = np.concatenate([unpack(x) for x in table.column("f").to_pylist()])
-        hist, hist_at = _vocabulary(np.concatenate(asked))
-        h = np.repeat(hist_at, np.concatenate(many))
+        hist, hist_at = _vocabulary(np.concatenate(keys))
+        many, spread = np.concatenate(marked) // 2, np.concatenate(marked) % 2 > 0
+        h = np.repeat(hist_at, many)
         pairs, first, at = np.unique(mix(hist[h] * np.uint64(3) + mix(w)), return_index=True, return_inverse=True)
         at = at.reshape(-1)
         total = np.bincount(at, c, len(pairs)).astype(np.int64)
@@ -226,17 +217,40 @@ def _add_pairs(uni: Unigrams):
         sums.append(np.bincount(ph, np.where(total > CUT, total, 0), len(hist)).astype(np.int64))
         lower = np.bincount(ph[seen], uni.p(wc[first[seen]]), len(hist))
         sums = np.stack(sums).astype(np.int64)
-        back, rows, i, k = total[at], [], 0, 0
-        for block, a, m in zip(blocks, asked, many, strict=True):
-            n = int(m.sum())
-            mine = hist_at[k : k + len(a)]
-            rows.append((block, part, pack(back[i : i + n]), pack(sums[:, mine]), pack(lower[mine])))
+        back, i, k = total[at], 0, 0
+        for block, a in zip(blocks, keys, strict=True):
+            n = int(many[k : k + len(a)].sum())
+            mine = hist_at[k : k + len(a)][~spread[k : k + len(a)]]
+            rows.append((block, part, "pairs", pack(back[i : i + n]), pack(sums[:, mine]), pack(lower[mine])))
             i, k = i + n, k + len(a)
-        return _table([*rows, (-1, part, _stats(total).tobytes())])
+        # what this partition has of histories that others have, too
+        mine = np.unique(hist_at[spread])
+        order, runs = by_part(_word_part(hist[mine], parts))
+        rows += [(-2, p, "sum", hist[m].tobytes(), pack(sums[:, m]), pack(lower[m])) for p, i, j in runs for m in [mine[order[i:j]]]]
+        return rows_table([*rows, (-1, part, "stats", _stats(total).tobytes())])
 
     return run
 
 
+def _add_slots(table: pa.Table) -> pa.Table:
+    """The parts of the histories that have their home here, added up, for the blocks that ask."""
+    part = table.column("part")[0].as_py()
+    rows = table.to_pylist()
+    found = [r for r in rows if r["kind"] == "sum"]
+    asks = [r for r in rows if r["kind"] == "ask"]
+    if not asks:
+        return rows_table([])
+    keys, at = _vocabulary(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in found]))
+    sums = np.concatenate([unpack(r["b"]).reshape(CUT + 1, -1) for r in found], 1)
+    sums = np.stack([np.bincount(at, x, len(keys)) for x in sums]).astype(np.int64)
+    lower = np.bincount(at, np.concatenate([unpack(r["c"]) for r in found]), len(keys))
+    out = []
+    for r in asks:
+        mine = np.searchsorted(keys, np.frombuffer(r["a"], np.uint64))
+        out.append((r["block"], part, "slots", b"", pack(sums[:, mine]), pack(lower[mine])))
+    return rows_table(out)
+
+
 def _score(uni: Unigrams, d: np.ndarray, parts: int, id_type: pa.DataType):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = dealt(table)
@@ -245,16 +259,20 @@ def _score(uni: Unigrams, d: np.ndarray, parts: int, id_type: pa.DataType):
         got = answers.filter(pa.array(kind == "pairs"))
         got = dict(zip(got.column("part").to_pylist(), zip(*(got.column(x).to_pylist() for x in "abc"), strict=True), strict=True))
         order, runs = by_part(b.part)
-        ask_order, ask_runs = by_part(b.ask_part)
         count = np.zeros(len(b.pairs), np.int64)
-        for p, i, j in runs:
-            count[order[i:j]] = unpack(got[p][0])
         n = len(b.words)
         sums, lower = np.zeros((CUT + 1, n)), np.zeros(n)
-        for p, i, j in ask_runs:
-            asked = b.ask[ask_order[i:j]]  # a history once in a partition
-            sums[:, asked] += unpack(got[p][1]).reshape(CUT + 1, -1)
-            lower[asked] += unpack(got[p][2])
+        for p, i, j in runs:
+            count[order[i:j]] = unpack(got[p][0])
+            own = np.unique(b.h[order[i:j]])
+            own = own[b.slots[own] == 1]
+            sums[:, own], lower[own] = unpack(got[p][1]).reshape(CUT + 1, -1), unpack(got[p][2])
+        slots = answers.filter(pa.array(kind == "slots"))
+        slots = dict(zip(slots.column("part").to_pylist(), zip(*(slots.column(x).to_pylist() for x in "bc"), strict=True), strict=True))
+        order, runs = by_part(b.home[b.ask])
+        for p, i, j in runs:
+            own = b.ask[order[i:j]]
+            sums[:, own], lower[own] = unpack(slots[p][0]).reshape(CUT + 1, -1), unpack(slots[p][1])
         # per history: the mass that its seen bigrams keep, and what is left for the others
         r = np.arange(1, CUT + 1)
         full = r @ sums[:CUT] + sums[CUT]
@@ -282,29 +300,33 @@ def _score(uni: Unigrams, d: np.ndarray, parts: int, id_type: pa.DataType):
 
 
 def _global(answers: DataFrame) -> np.ndarray:
-    """The stats rows added up (a row of CUT+3 numbers for each table partition), streamed to the driver one by one."""
-    total = np.zeros(CUT + 3, np.int64)
-    for r in answers.where("block = -1").select("a").toLocalIterator():
-        total += np.frombuffer(bytes(r["a"]), np.int64)
-    return total
+    """The stats rows (CUT + 3 numbers for each table partition) added up: one row for each task reaches the driver."""
+
+    def add(batches):
+        total = np.zeros(CUT + 3, np.int64)
+        for b in batches:
+            total += sum((np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()), np.zeros(CUT + 3, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["a"])
+
+    found = answers.where("kind = 'stats'").select("a").mapInArrow(add, "a binary").collect()
+    return sum((np.frombuffer(bytes(r["a"]), np.int64) for r in found), np.zeros(CUT + 3, np.int64))
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
     parts = count(docs, text_col, block_chars)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))).alias("train"))
     by_block = deal(rows, parts, "id", "text").groupBy("block")
 
     words = saved(by_block.applyInArrow(_send_words(parts), ROWS).groupBy("part").applyInArrow(_add_words, ROWS))
     uni = Unigrams(_global(words))
-    word_answers = words.where("block >= 0").select("block", "part", "a")
+    word_answers = words.where("kind = 'words'").select("block", "part", "kind", "a", "b", "c")
 
     asked = by_block.cogroup(word_answers.groupBy("block")).applyInArrow(_send_pairs(uni, parts), ROWS)
-    pairs = saved(asked.groupBy("part").applyInArrow(_add_pairs(uni), ROWS))
+    pairs = saved(asked.groupBy("part").applyInArrow(_add_pairs(uni, parts), ROWS))
     d = discounts(_global(pairs)[2:])
-    answers = word_answers.select("block", "part", F.lit("words").alias("kind"), "a", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
-    answers = answers.unionByName(pairs.where("block >= 0").select("block", "part", F.lit("pairs").alias("kind"), "a", "b", "c"))
+    slots = pairs.where("kind IN ('sum', 'ask')").groupBy("part").applyInArrow(_add_slots, ROWS)
+    answers = word_answers.unionByName(pairs.where("kind = 'pairs'").select(*word_answers.columns)).unionByName(slots.select(*word_answers.columns))
 
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
