@@ -12,14 +12,15 @@ suffixes of a document with one such end make a segment, which is sent once.
    end occurs in one document only (nothing can repeat), in one segment only (its
    smallest document holds for every suffix), or in several.
 2. For the last, the block with a segment's smallest document sends its words.
-   The partition builds the subtrees of its groups: suffixes are sorted by
-   doubling up to WINDOW words; the runs that agree in so many words are the
-   internal nodes of at least that depth, and the smallest document below a node
-   answers for all suffixes of it. Groups of more than SPLIT segments are split
+   The partition builds the tree of its groups' suffixes (sorted, with the depth
+   at which neighbours part); the smallest document below an internal node of
+   depth WINDOW answers for all suffixes of it. Groups of more than SPLIT segments are split
    by their longest prefix: each suffix goes by all its WINDOW words (128 bits of
    hash) to a partition of its own.
 3. Blocks remove the words of every suffix whose node has a smaller document.
 
+Segments and split suffixes are compared by 128 bits of hash, words in trees by 64.
+
 Null and empty texts have no words and the digest of nothing. Documents with a
 null id neither lose words nor take them from others. Repeated rows with one id
 each give a row and don't remove each other's words; empty tables give no rows;
@@ -48,7 +49,17 @@ NONE, ONE, TREE, SPREAD = range(4)
 #: Stands for "no document", which is smaller than none.
 NOBODY = np.int64(2**63 - 1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+STEPS = (STEP, np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of 128-bit keys (two columns) in order, the first place of each, and each row's number among them."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    x = pairs[order]
+    new = np.r_[True, (x[1:] != x[:-1]).any(1)][: len(x)]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return x[new], order[new], at  # lexsort is stable, so these are first places
 
 
 def leftmost_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -63,12 +74,13 @@ def leftmost_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def range_hashes(h: np.ndarray):
-    """A function that gives the hash of words [s, e) for arrays of s and e."""
-    n = len(h)
-    up = np.cumprod(np.r_[np.uint64(1), np.full(n, STEP)])
-    down = np.cumprod(np.r_[np.uint64(1), np.full(n, BACK)])
-    total = np.r_[np.uint64(0), np.cumsum(mix(h) * up[:n])]
-    return lambda s, e: mix((total[e] - total[s]) * down[s])
+    """A function that gives the 128-bit hashes (two columns) of words [s, e) for arrays of s and e: two polynomials of the words' own hashes."""
+    n, made = len(h), []
+    for i, step in enumerate(STEPS):
+        up = np.cumprod(np.r_[np.uint64(1), np.full(n, step)])
+        down = np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(pow(int(step), -1, 1 << 64)))])
+        made.append((np.r_[np.uint64(0), np.cumsum(mix(h + np.uint64(i)) * up[:n])], down))
+    return lambda s, e: np.stack([mix((total[e] - total[s]) * down[s]) for total, down in made], 1)
 
 
 class Segments:
@@ -95,10 +107,9 @@ class Segments:
         self.owner = self.ids[self.doc[self.first]]
         end = g[at[new]]
         key = self.hash(self.first, self.first + self.many + window - 1)
-        key = mix(key + mix(end + (at[new] - self.first).astype(np.uint64) * STEP) + self.many.astype(np.uint64))
+        key = mix(key + (mix(end + (at[new] - self.first).astype(np.uint64) * STEP) + self.many.astype(np.uint64))[:, None])
         # distinct ones, by partition then key
-        self.key, place, self.which = np.unique(key, return_index=True, return_inverse=True)
-        self.which = self.which.reshape(-1)
+        self.key, place, self.which = distinct(key)
         self.place, self.end = place, end[place]
         self.low = np.full(len(self.key), NOBODY)
         np.minimum.at(self.low, self.which, self.owner)
@@ -129,12 +140,11 @@ def _send(parts: int, window: int):
 def _meet(split: int):
     def run(table: pa.Table) -> pa.Table:
         part, blocks = table.column("part")[0].as_py(), table.column("block").to_pylist()
-        key = [keys(x) for x in table.column("a").to_pylist()]
+        key = [keys(x).reshape(-1, 2) for x in table.column("a").to_pylist()]
         end = np.concatenate([keys(x) for x in table.column("b").to_pylist()])
         low = np.concatenate([unpack(x) for x in table.column("c").to_pylist()])
         high = np.concatenate([unpack(x) for x in table.column("d").to_pylist()])
-        segs, first, at = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
-        at = at.reshape(-1)
+        segs, first, at = distinct(np.concatenate(key))
         least = np.full(len(segs), NOBODY)
         np.minimum.at(least, at, low)
         most = np.full(len(segs), -NOBODY)
@@ -170,11 +180,9 @@ def _states(s: Segments, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _spread(s: Segments, seg: np.ndarray, window: int, parts: int):
     """The suffixes of segments split by their longest prefix: distinct 128-bit keys, their order by partition, and each suffix's place."""
     at = s.suffixes(seg)
-    a = s.hash(at, at + window)
-    b = mix(np.repeat(s.end[seg], s.many[s.place[seg]]) + a * STEP)
-    both = np.unique(np.stack([a, b], 1), axis=0, return_inverse=True)
-    order, runs = by_part((both[0][:, 0] % np.uint64(parts)).astype(np.int64))
-    return both[0], both[1].reshape(-1), order, runs
+    both, _, place = distinct(s.hash(at, at + window))
+    order, runs = by_part((both[:, 0] % np.uint64(parts)).astype(np.int64))
+    return both, place, order, runs
 
 
 def _send_words(parts: int, window: int):
@@ -203,18 +211,39 @@ def _send_words(parts: int, window: int):
     return run
 
 
-def deep_nodes(h: np.ndarray, window: int) -> np.ndarray:
-    """For each place of a word sequence the number of its node: equal for places that agree in the next ``window`` words."""
-    rank = np.unique(h, return_inverse=True)[1].reshape(-1).astype(np.int64)
-    have = 1
-    while have < window:
+def suffix_tree(h: np.ndarray, suffix: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tree of the given suffixes of a word sequence, cut at depth ``window``: the suffixes in order, and the depth (in words) at which each parts from the one before.
+
+    Suffixes are sorted by prefix doubling; each doubling's ranks are kept, and
+    two neighbours descend through them from the longest, which gives their
+    common depth. The stretches of neighbours of a depth of at least d are the
+    internal nodes of that depth and below.
+    """
+    levels, rank, have = [], np.unique(h, return_inverse=True)[1].reshape(-1).astype(np.int64), 1
+    while True:
+        levels.append((have, rank))
         step = min(have, window - have)
         n = len(rank) - step
-        if n <= 0:
-            return np.zeros(0, np.int64)
+        if not step or n <= 0:
+            break
         rank = np.unique(rank[:n] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1].reshape(-1)
         have += step
-    return rank
+    order = suffix[np.argsort(levels[-1][1][suffix], kind="stable")]
+    a, b = order[:-1].copy(), order[1:].copy()
+    depth = np.zeros(len(order), np.int64)
+    equal = levels[-1][1][a] == levels[-1][1][b]
+    for length, ranks in reversed(levels[:-1]):
+        go = np.flatnonzero(~equal)
+        x, y = a[go], b[go]
+        inside = np.maximum(x, y) < len(ranks)
+        same = np.zeros(len(go), bool)
+        same[inside] = ranks[x[inside]] == ranks[y[inside]]
+        go = go[same]
+        a[go] += length
+        b[go] += length
+        depth[1:][go] += length
+    depth[1:][equal] = window
+    return order, depth
 
 
 def _trees(window: int):
@@ -223,28 +252,36 @@ def _trees(window: int):
         kind = np.array(table.column("kind").to_pylist(), object)
         trees = table.filter(pa.array(kind == "tree")).to_pylist()
         if trees:
-            own = np.concatenate([keys(x["b"]) for x in trees])
+            own = np.concatenate([keys(x["b"]).reshape(-1, 2) for x in trees])
             least = np.concatenate([unpack(x["c"]) for x in trees])
             sizes = np.concatenate([unpack(x["d"]) for x in trees])
             h = np.concatenate([keys(x["e"])[unpack(x["f"])] for x in trees])
             many = sizes - window + 1
             first = np.cumsum(sizes) - sizes
             suffix = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            node = deep_nodes(h, window)[suffix]
+            order, depth = suffix_tree(h, suffix, window)
+            # the deep internal nodes, and single suffixes: a new one begins where neighbours part above the window
+            node = np.empty(len(h), np.int64)
+            node[order] = np.cumsum(depth < window) - 1
+            node = node[suffix]
             low = np.full(int(node.max()) + 1, NOBODY)
             np.minimum.at(low, node, np.repeat(least, many))
             low = low[node]
             begin = np.cumsum(many) - many
-            order = np.argsort(own)
-            for x in trees:
-                seg = order[np.searchsorted(own, keys(x["a"]), sorter=order)]
+            asked = [keys(x["a"]).reshape(-1, 2) for x in trees]
+            code = distinct(np.concatenate([own, *asked]))[2]
+            place = np.empty(int(code.max()) + 1, np.int64)
+            place[code[: len(own)]] = np.arange(len(own))
+            ends = len(own) + np.cumsum([len(x) for x in asked])
+            for x, e, k in zip(trees, ends.tolist(), map(len, asked), strict=True):
+                seg = place[code[e - k : e]]
                 n = many[seg]
                 at = np.repeat(begin[seg], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 rows.append((x["block"], part, "tree", pack(low[at])))
         spread = table.filter(pa.array(kind == "spread")).to_pylist()
         if spread:
-            both = [np.frombuffer(x["a"], np.uint64).reshape(-1, 2) for x in spread]
-            at = np.unique(np.concatenate(both), axis=0, return_inverse=True)[1].reshape(-1)
+            both = [keys(x["a"]).reshape(-1, 2) for x in spread]
+            at = distinct(np.concatenate(both))[2]
             low = np.full(int(at.max()) + 1, NOBODY)
             np.minimum.at(low, at, np.concatenate([unpack(x["b"]) for x in spread]))
             low, i = low[at], 0
@@ -323,7 +360,6 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
 
 def _deduplicated(docs, id_col, text_col, window, block_chars, split, last, field) -> DataFrame:
-    spark = docs.sparkSession
     parts = count(docs, text_col, block_chars)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = deal(rows, parts, F.coalesce("id", F.xxhash64("text"))).groupBy("block")

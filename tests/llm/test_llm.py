@@ -235,6 +235,21 @@ def test_repeats_odd(spark, odd):
     assert repeats.digests(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("alphabet", "n", "window"), [(2, 300, 50), (1, 120, 50), (3, 200, 7), (1000, 80, 50)])
+def test_suffix_tree(alphabet, n, window):
+    """The order of suffixes cut at the window, and where neighbours part, against plain comparison."""
+    r = random.Random(n)
+    base = [r.randrange(alphabet) for _ in range(n // 2)]
+    h = np.array(base + base[: n - len(base)], np.uint64)
+    suffix = np.arange(0, n - window + 1)
+    order, depth = repeats.suffix_tree(h, suffix, window)
+    cut = [tuple(h[i : i + window].tolist()) for i in order]
+    assert cut == sorted(cut) and sorted(order.tolist()) == suffix.tolist()
+    for i in range(1, len(cut)):
+        same = next((k for k in range(window) if cut[i][k] != cut[i - 1][k]), window)
+        assert depth[i] == same
+
+
 # ---- 4 --------------------------------------------------------------------------------------------------------------
 
 
