@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetlake.functions import net
@@ -64,6 +64,26 @@ def incidents(members: DataFrame, now_us: int | None = None, window_us: int | No
     return out
 
 
+def incident_risk(members: DataFrame, risk: str = "risk", occurrences: str = "occurrences") -> DataFrame:
+    """Confidence, risk and events of each incident.
+
+    An incident has the risk of its first alert; each further one gives the larger
+    of both, and one more if it stands for several occurrences, up to 100. As the
+    steps only rise, that is the largest of each alert's risk and the ones that
+    follow it: a running sum, not a fold.
+    """
+    order = Window.partitionBy("incident_id").orderBy("ts_us", "packet_id")
+    step = F.when(F.lag("ts_us").over(order).isNotNull() & (F.col(occurrences) > 1), 1).otherwise(0)
+    later = Window.partitionBy("incident_id").orderBy(F.desc("ts_us"), F.desc("packet_id")).rowsBetween(Window.unboundedPreceding, 0)
+    up = members.withColumn("__step", step).withColumn("__up", F.col(risk) + F.sum("__step").over(later))
+    return up.groupBy("incident_id").agg(F.max("confidence").alias("confidence"), F.least(F.lit(100), F.max("__up")).cast("int").alias("risk"), F.sum(occurrences).cast("bigint").alias("event_count"))
+
+
+def evict(incidents_: DataFrame, most: int) -> DataFrame:
+    """The ``most`` newest incidents by first sighting: what is left when a table is bounded."""
+    return incidents_.orderBy(F.desc("first_us"), F.desc("incident_id")).limit(most)
+
+
 def with_overrides(incidents_: DataFrame, overrides: DataFrame) -> DataFrame:
     """Manual states (incident_id, status) over the computed ones."""
     o = overrides.select("incident_id", F.col("status").alias("__status"))

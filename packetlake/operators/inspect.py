@@ -81,6 +81,53 @@ def tls_record(text: Column) -> Column:
     return F.struct(status.alias("status"), F.when(n >= 5, byte(1)).alias("content_type"), F.when(n >= 5, byte(3)).alias("minor"), F.when(n >= 5, size).alias("length"), F.when((byte(1) == 22) & (n >= 6), byte(6)).alias("handshake_type"))
 
 
+#: Services with an inspector.
+INSPECTED = ("HTTP", "DNS", "TLS", "SSH", "ICMP", "GENERIC_TCP", "GENERIC_UDP")
+
+
+def plain_fields(service_: Column, text: Column) -> Column:
+    """Status, length and banner of SSH, ICMP and unknown services: SSH has to begin with its banner."""
+    n, banner = F.coalesce(F.length(text), F.lit(0)), text.startswith("SSH-")
+    bad = (service_ == "SSH") & (n >= 4) & ~banner
+    status = F.when(bad, "malformed").when(n == 0, "incomplete").otherwise("complete")
+    return F.struct(status.alias("status"), n.alias("payload_length"), F.when((service_ == "SSH") & banner, "SSH-").alias("banner_prefix"))
+
+
+def inspected(df: DataFrame, service_col: str = "service", payload_col: str = "payload", cap: int = BUFFER_CAP) -> DataFrame:
+    """Adds ``inspection`` (status and the fields of the service, as text by name): dispatch by service.
+
+    Services without an inspector are malformed, payloads over the cap exceed a
+    limit. DNS messages are walked in Arrow batches, all else are expressions.
+    """
+    text, s = F.decode(payload_col, "ISO-8859-1") if dict(df.dtypes)[payload_col] == "binary" else F.col(payload_col), F.upper(service_col)
+    out = dns_inspect(df.withColumn("__bytes", F.when(s == "DNS", F.col(payload_col).cast("binary"))), "__bytes")
+    http, tls, plain = http_fields(F.when(s == "HTTP", text)), tls_record(F.when(s == "TLS", text)), plain_fields(s, text)
+    out = out.withColumns({"__http": F.when(s == "HTTP", http), "__tls": F.when(s == "TLS", tls), "__plain": plain})
+
+    def named(source: str, *names: str) -> Column:
+        pairs = F.array(*(F.struct(F.lit(n).alias("k"), F.col(f"{source}.{n}").cast("string").alias("v")) for n in names))
+        return F.map_from_entries(F.filter(pairs, lambda e: e["v"].isNotNull()))
+
+    fields = (
+        F.when(s == "HTTP", named("__http", "method", "uri", "normalized_uri", "version", "response_status", "host", "user_agent", "content_type", "content_length")).when(s == "DNS", named("dns", "id", "response", "questions", "answers", "rcode", "qname", "qtype"))
+        .when(s == "TLS", named("__tls", "content_type", "minor", "length", "handshake_type")).otherwise(named("__plain", "payload_length", "banner_prefix"))
+    )
+    status = F.when(~s.isin(*INSPECTED), "malformed").when(F.length(text) > cap, "limit_exceeded").when(s == "HTTP", F.col("__http.status")).when(s == "DNS", F.col("dns.status")).when(s == "TLS", F.col("__tls.status")).otherwise(F.col("__plain.status"))
+    return out.withColumn("inspection", F.struct(status.alias("status"), F.when(s.isin(*INSPECTED) & (status != "limit_exceeded"), fields).otherwise(F.create_map().cast("map<string,string>")).alias("fields"))).drop("__bytes", "__http", "__tls", "__plain", "dns")
+
+
+def inspection_buffers(df: DataFrame, service_col: str = "service") -> DataFrame:
+    """Adds the buffers that rules may name as columns, from ``inspection``: null where a service has none of the kind."""
+    f, s, done = F.col("inspection.fields"), F.upper(service_col), F.col("inspection.status") == "complete"
+    of = {"http_uri": ("HTTP", "normalized_uri"), "http_method": ("HTTP", "method"), "http_host": ("HTTP", "host"), "http_user_agent": ("HTTP", "user_agent"), "http_headers": ("HTTP", "host"), "dns_query": ("DNS", "qname")}
+    cols = {name: F.when((s == service_) & done, f[key]) for name, (service_, key) in of.items()}
+    text = F.decode("payload", "ISO-8859-1") if dict(df.dtypes)["payload"] == "binary" else F.col("payload")
+    cols |= {"dns_response": F.when((s == "DNS") & done & (f["response"] == "true"), text), "tls_handshake": F.when((s == "TLS") & f["handshake_type"].isNotNull(), text)}
+    transport = F.upper("protocol") if "protocol" in df.columns else F.lit(None).cast("string")
+    cols |= {name: F.when(transport.isin(*kinds), F.lit("")) for name, kinds in (("tcp", ("TCP",)), ("udp", ("UDP",)), ("icmp", ("ICMP", "ICMPV6")))}
+    return df.withColumns(cols)
+
+
 def dns_fields(payloads) -> list[dict]:
     """Status, id, kind, counts, response code, first name and type of DNS messages; for Arrow batches of bytes."""
     out = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterable
 from functools import reduce
@@ -208,6 +210,71 @@ def load_rules(entries: Iterable[dict], variables: dict[str, str] | None = None)
     return rules
 
 
+def port_variables(path: str | None = None, env: str = "PACKETLAKE_PORT_VARIABLES") -> dict[str, str]:
+    """The port groups: built in, then those of a JSON file, then those of the environment (names to lists of ports, the later one counts).
+
+    Groups that aren't lists of ports from 0 to 65535 are left out, as are files that can't be read.
+    """
+    found = dict(PORT_VARIABLES)
+
+    def add(text: str) -> None:
+        try:
+            given = json.loads(text)
+        except ValueError:
+            return
+        for name, ports in given.items() if isinstance(given, dict) else ():
+            if isinstance(ports, list) and ports and all(isinstance(p, int) and not isinstance(p, bool) and 0 <= p <= 65535 for p in ports):
+                found[str(name).upper()] = ",".join(map(str, ports))
+
+    if path and os.path.exists(path):
+        try:
+            with open(path, encoding="utf-8") as f:
+                add(f.read())
+        except OSError:
+            pass
+    add(os.environ.get(env) or "{}")
+    return found
+
+
+def rules_file(spark: SparkSession, path: str, variables: dict[str, str] | None = None) -> list[dict]:
+    """All rules of a JSON file (an array of objects, or such an array under ``rules``), by a path that Spark can open; an error if any is wrong."""
+    texts = spark.read.text(path, wholetext=True).collect()
+    rules: list[dict] = []
+    for row in texts:
+        try:
+            entries = json.loads(row[0])
+        except ValueError as e:
+            raise RuleError("file", str(e)) from e
+        entries = entries.get("rules") if isinstance(entries, dict) else entries
+        if not isinstance(entries, list) or not all(isinstance(e, dict) for e in entries):
+            raise RuleError("file", "an array of rules is needed")
+        rules += [e if "direction" not in e or e["direction"] in DIRECTIONS else e | _named_direction(e) for e in entries]
+    return load_rules(rules, variables)
+
+
+def _named_direction(entry: dict) -> dict:
+    """Directions by name are those of the flow; the addresses stand as given."""
+    names = {"client_to_server": "to_server", "server_to_client": "to_client", "any": None}
+    if entry["direction"] not in names:
+        raise RuleError("direction", f"unsupported: {entry['direction']}")
+    return {"direction": "->", "flow": names[entry["direction"]]}
+
+
+class LiveRules:
+    """Rules that are read again for each micro-batch; ``changed`` tells when they differ, so that what was suppressed under the old ones can be let go."""
+
+    def __init__(self, load):
+        self.load, self.signature, self.rules, self.changed = load, None, [], False
+
+    def __call__(self) -> list[dict]:
+        fresh = [r for r in self.load() if r["enabled"]]
+        signature = tuple((r["gid"], r["sid"], r["rev"], repr(sorted(r.items(), key=lambda x: x[0]))) for r in sorted(fresh, key=lambda r: (r["gid"], r["sid"], r["rev"])))
+        self.changed = signature != self.signature
+        if self.changed:
+            self.rules, self.signature = fresh, signature
+        return self.rules
+
+
 def rule_text(r: dict) -> str:
     """The canonical line of a rule; parsing it gives the rule back."""
     quote = lambda s: '"' + re.sub(r'(["\;])', r"\\\1", s) + '"'

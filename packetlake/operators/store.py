@@ -73,6 +73,69 @@ def unjustified(alerts: DataFrame, sid: int, pattern: str, threshold: int, evide
     return (F.col("sid") == sid) & (n != "") & (n.try_cast("bigint") < threshold)
 
 
+RULE_FIELDS, INCIDENT_FIELDS = ("message", "protocol", "source_file"), ("category", "status", "explanation")
+
+
+def search_rules(rules: DataFrame, term: str, everywhere: bool = False) -> DataFrame:
+    """Rules whose message, protocol or file holds the term, or whose sid it is; ``everywhere`` looks through all plain columns."""
+    if not everywhere:
+        return rules.where(search(term, tuple(c for c in RULE_FIELDS if c in rules.columns), ("sid",)))
+    plain = [c for c, kind in rules.dtypes if not kind.startswith(("array", "map", "struct", "binary"))]
+    text = F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in plain))
+    return rules.where(F.contains(F.lower(text), F.lit(term.lower())))
+
+
+def search_incidents(incidents: DataFrame, term: str | None = None, status: str | None = None, category: str | None = None) -> DataFrame:
+    equal = {k: v for k, v in (("status", status), ("category", category)) if v}
+    return Filter(equal=equal, term=term, fields=tuple(c for c in INCIDENT_FIELDS if c in incidents.columns), numbers=()).apply(incidents)
+
+
+def recent(df: DataFrame, n: int, time: str = "ts_us", tie: str = "packet_id") -> DataFrame:
+    """The newest ``n`` rows, newest first: a top-k, not a sort."""
+    return df.orderBy(F.desc(time), F.desc(tie)).limit(n)
+
+
+def oldest(df: DataFrame, n: int, time: str = "last_us", tie: str = "packet_id") -> DataFrame:
+    """The ``n`` rows that have been quiet for longest: what a bounded table would give up."""
+    return df.orderBy(time, tie).limit(n)
+
+
+def by_id(df: DataFrame, value, key: str = "alert_id") -> DataFrame:
+    """The row with an id; the filter reaches the scan."""
+    return df.where(F.col(key) == value)
+
+
+def with_traffic(alerts: DataFrame, traffic: DataFrame, key: str = "packet_id") -> DataFrame:
+    """Alerts with the traffic row that raised them (columns traffic_*), without one where it isn't kept."""
+    rows = traffic.select(F.col(key).alias("__key"), *(F.col(c).alias(f"traffic_{c}") for c in traffic.columns if c != key))
+    return alerts.join(rows, alerts[key] == F.col("__key"), "left").drop("__key")
+
+
+def rule_metadata(rules: DataFrame, json: str = "rule_json", fields: tuple[str, ...] = ("message", "protocol", "category", "severity", "content", "direction")) -> DataFrame:
+    """Fields of a rule from its row, else from its JSON (broken JSON counts as none), else null."""
+    own = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in rules.columns else F.lit(None).cast("string")
+    return rules.select("gid", "sid", "rev", *(F.coalesce(own(c), F.get_json_object(json, f"$.{c}")).alias(c) for c in fields))
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A stored relation."""
+    return spark.read.parquet(f"{root.rstrip('/')}/{name}")
+
+
+def system_info(spark: SparkSession, **settings: str | int) -> DataFrame:
+    """One row: time, zone and its offset, and the settings given (host, port, limits)."""
+    now = F.current_timestamp()
+    offset = F.unix_seconds(F.to_timestamp(F.date_format(now, "yyyy-MM-dd HH:mm:ss 'Z'"), "yyyy-MM-dd HH:mm:ss X")) - F.unix_seconds(now)
+    return spark.range(1).select(F.unix_seconds(now).alias("epoch_seconds"), F.current_timezone().alias("timezone_name"), offset.alias("timezone_offset_seconds"), *(F.lit(v).alias(k) for k, v in sorted(settings.items())))
+
+
+def table_stats(tables: dict[str, DataFrame], persisted: DataFrame | None = None) -> DataFrame:
+    """(name, value): rows of each table, and the largest persisted value of each statistic."""
+    counts = [t.agg(F.lit(n).alias("name"), F.count("*").alias("value")) for n, t in tables.items()]
+    both = reduce(DataFrame.unionByName, counts)
+    return both if persisted is None else both.unionByName(persisted.groupBy("name").agg(F.max("value").cast("bigint").alias("value")))
+
+
 def purge(alerts: DataFrame, bridge: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
     """Alerts without the bad ones, and bridge rows of alerts that are left."""
     kept = alerts.where(~F.coalesce(bad, F.lit(False)))

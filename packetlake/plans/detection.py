@@ -169,12 +169,6 @@ r AS (SELECT {names}, o.i, o.packet_id, o.ts_us AS anchor, true AS opens FROM o
 SELECT {columns} FROM r WHERE opens"""
 
 
-@query(anchors_sql("SELECT packet_id, ts_us, src_ip, dst_port % 10 AS dst_port, protocol FROM packets", "src_ip, dst_port, protocol", 3 * DAY, "packet_id, anchor AS ts_us, src_ip, dst_port, protocol"))
-def frame_dedup(spark, sf_dir):
-    p = packets(spark, sf_dir).select("packet_id", "ts_us", "src_ip", (F.col("dst_port") % 10).alias("dst_port"), "protocol")
-    return W.anchored(p, ["src_ip", "dst_port", "protocol"], 3 * DAY)
-
-
 @query(f"""
 WITH {PACKETS}, fails AS (SELECT packet_id, ts_us, src_ip FROM packets WHERE protocol = 'TCP' AND tcp_flags & 5 <> 0),
 counted AS (SELECT *, count(*) {_range('src_ip', 2)} AS n, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY src_ip ORDER BY ts_us, packet_id) > {2 * DAY} THEN 1 ELSE 0 END AS fresh FROM fails),

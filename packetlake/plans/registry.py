@@ -6,7 +6,7 @@ import importlib
 
 from packetlake.plans.base import ORACLES, QUERIES
 
-for _name in ("detection", "connections", "rules", "stores"):
+for _name in ("detection", "connections", "rules", "stores", "more"):
     importlib.import_module(f"packetlake.plans.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

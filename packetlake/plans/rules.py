@@ -93,19 +93,19 @@ def port_expression_table(spark, sf_dir):
 
 @query(r"""
 WITH r AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'GET ' || url ELSE 'GET ' || regexp_replace(url, '^https?://[^/]+', '') END || CASE WHEN page_id % 7 = 0 THEN '' ELSE ' HTTP/1.1' END AS line, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)
-SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'malformed' WHEN page_id % 11 = 0 THEN 'incomplete' ELSE 'complete' END AS status, CASE WHEN page_id % 7 <> 0 AND page_id % 11 <> 0 THEN 'GET' END AS method,
+SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'incomplete' WHEN page_id % 7 = 0 THEN 'malformed' ELSE 'complete' END AS status, CASE WHEN page_id % 7 <> 0 AND page_id % 11 <> 0 THEN 'GET' END AS method,
   CASE WHEN page_id % 7 <> 0 AND page_id % 11 <> 0 THEN split_part(line, ' ', 2) END AS uri, CASE WHEN page_id % 7 <> 0 AND page_id % 11 <> 0 THEN host END AS host, CASE WHEN page_id % 7 <> 0 AND page_id % 11 <> 0 THEN 'probe/1.0' END AS user_agent
-FROM r WHERE NOT (page_id % 7 = 0 AND page_id % 11 = 0)""")
+FROM r""")
 def http_request_fields(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where("NOT (page_id % 7 = 0 AND page_id % 11 = 0)")
+    p = table(spark, sf_dir, "pages")
     uri = F.when(F.col("page_id") % 5 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^https?://[^/]+", ""))
     text = F.concat(F.lit("GET "), uri, F.when(F.col("page_id") % 7 == 0, "").otherwise(" HTTP/1.1"), F.lit("\r\nHost: "), F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("\r\nUser-Agent:  probe/1.0"), F.when(F.col("page_id") % 11 == 0, "").otherwise("\r\n\r\n"))
     return p.withColumn("f", I.http_fields(text)).select("page_id", "f.status", "f.method", "f.uri", "f.host", "f.user_agent")
 
 
-@query(r"SELECT page_id, replace(url, '/', '\') || '%41+b%zz' AS uri, url || 'A+b%zz' AS normalized FROM pages WHERE NOT contains(url, '%')")
+@query(r"SELECT page_id, replace(url, '/', '\') || '%41+b%zz' AS uri, url || 'A+b%zz' AS normalized FROM pages")
 def uri_normalize(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where("NOT contains(url, '%')").select("page_id", F.concat(F.replace("url", F.lit("/"), F.lit("\\")), F.lit("%41+b%zz")).alias("uri"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.replace("url", F.lit("/"), F.lit("\\")), F.lit("%41+b%zz")).alias("uri"))
     return p.withColumn("normalized", I.normalized_uri(F.col("uri")))
 
 
