@@ -92,11 +92,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     short = items.where(F.size("__words") < WINDOW)
     n_contexts, lengths = contexts.count(), sorted(r[0] for r in short.select(F.size("__words")).distinct().collect())  # nine at most
 
+    # a row is known by its id and a hash of its text, which every branch below works out alike; equal rows are
+    # counted by their extra values and come back as many.
     # an entry that meets every document's own extra value, so that each has a row; salted for the shuffled way
     extra = docs.sparkSession.range(SALTS).select((F.lit(EXTRA) + F.col("id")).alias("__h"), F.lit(None).cast("array<string>").alias("__ctx"), F.lit(None).cast("array<string>").alias("__items"))
     contexts = contexts.unionByName(extra)
 
-    base = docs.select(F.col(id_col).alias("__id"), word_array(F.col(text_col)).alias("__words"), F.monotonically_increasing_id().alias("__row"))
+    base = docs.select(F.col(id_col).alias("__id"), word_array(F.col(text_col)).alias("__words"), F.xxhash64(id_col, text_col).alias("__row"))
     base = base.withColumn("__n", F.size("__words").cast("long"))
     rows = winnowed(base).select("__row", "__id", "__n", "__words", F.explode(F.concat("__kept", F.array(F.lit(None).cast("bigint")))).alias("__v"))
     rows = rows.select("__row", "__id", "__n", "__words", F.coalesce(_hash(F.col("__v")), F.lit(EXTRA) + F.pmod("__row", F.lit(SALTS))).alias("__h"), F.coalesce(_place(F.col("__v")), F.lit(0)).alias("__p"))
@@ -109,13 +111,13 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
         met = rows.select("__row", "__id", "__n", "__h", "__p", F.when(F.col("__h") < EXTRA, near).alias("__near")).join(contexts, "__h")
         words, at = F.col("__near"), F.lit(SPAN)
     same = F.transform(F.sequence(F.lit(-SPAN), F.lit(GRAM + SPAN - 1)), lambda d: F.coalesce(F.get(words, at + d) == F.get("__ctx", d + SPAN), F.lit(False)))
-    met = met.select("__row", "__id", "__n", "__p", "__items", F.when(F.col("__h") < EXTRA, same).alias("__same"))
+    met = met.select("__row", "__id", "__n", "__p", "__items", (F.col("__h") >= EXTRA).alias("__extra"), F.when(F.col("__h") < EXTRA, same).alias("__same"))
     left = _first_miss(F.reverse(F.slice("__same", 1, SPAN)), SPAN)
     right = _first_miss(F.slice("__same", SPAN + GRAM + 1, SPAN), SPAN)
-    met = met.select("__row", "__id", "__n", "__p", "__items", F.array_contains(F.slice("__same", SPAN + 1, GRAM), False).alias("__miss"), left.alias("__left"), right.alias("__right"))
+    met = met.select("__row", "__id", "__n", "__p", "__items", "__extra", F.array_contains(F.slice("__same", SPAN + 1, GRAM), False).alias("__miss"), left.alias("__left"), right.alias("__right"))
     hit = F.struct((F.col("__p") - F.col("__left")).alias("s"), (F.col("__p") + GRAM + F.col("__right") - 1).alias("e"), F.col("__items").alias("items"))
     good = ~F.col("__miss") & (F.col("__left") + F.col("__right") + GRAM >= WINDOW)
-    met = met.select("__row", "__id", "__n", F.when(good, hit).alias("__hit"))
+    met = met.select("__row", "__id", "__n", "__extra", F.when(good, hit).alias("__hit"))
 
     for size in lengths:
         keys = grams(short.where(F.size("__words") == size), size, "__grams").select(_hash(F.get("__grams", F.lit(0))).alias("__h"), F.col("__words").alias("__ctx"), "__item")
@@ -123,12 +125,12 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
         runs = grams(base, size, "__grams").select("__row", "__id", "__n", "__words", F.explode_outer("__grams").alias("__v"))
         runs = runs.select("__row", "__id", "__n", F.slice("__words", _place(F.col("__v")) + 1, size).alias("__ctx"), _place(F.col("__v")).alias("__p"), _hash(F.col("__v")).alias("__h"))
         found = runs.join(keys, ["__h", "__ctx"])
-        met = met.unionByName(found.select("__row", "__id", "__n", F.struct(F.col("__p").alias("s"), (F.col("__p") + size - 1).alias("e"), F.col("__items").alias("items")).alias("__hit")))
+        met = met.unionByName(found.select("__row", "__id", "__n", F.lit(False).alias("__extra"), F.struct(F.col("__p").alias("s"), (F.col("__p") + size - 1).alias("e"), F.col("__items").alias("items")).alias("__hit")))
 
-    by = met.groupBy("__row", "__id", "__n").agg(F.collect_set("__hit").alias("__hits"))
+    by = met.groupBy("__row", "__id", "__n").agg(F.collect_set("__hit").alias("__hits"), F.count_if("__extra").alias("__copies"))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda x: x["items"]))))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("__hits", lambda x: F.sequence(x["s"], x["e"]))))).cast("long")
-    by = by.select("__id", "__n", n_hit.alias("n_hit"), ids.alias("__ids"))
+    by = by.select("__id", "__n", n_hit.alias("n_hit"), ids.alias("__ids"), F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return by.select(F.col("__id").alias(id_col), F.col("__n").alias("n_words"), "n_hit", F.size("__ids").cast("long").alias("n_items"), F.sha2(F.array_join("__ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

@@ -163,11 +163,11 @@ def _figure_rows(df: DataFrame, id_col: str, text_col: str, keep: list[str]) ->
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Gam:
-    """The model from a bounded sample of labelled rows that aren't held out."""
+    """The model from a bounded sample of labelled rows that aren't held out. Of different labels or texts of one id the smallest teaches."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    few = usable.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    few = usable.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y")).groupBy("__id").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(few), "__id")  # `sample` rows of two numbers at most
-    rows = _figure_rows(texts, "__id", "__t", ["__id", "__y"]).dropDuplicates(["__id"]).toPandas().sort_values("__id")
+    rows = _figure_rows(texts, "__id", "__t", ["__id", "__y"]).groupBy("__id").agg(F.min("__x").alias("__x"), F.min("__y").alias("__y")).toPandas().sort_values("__id")
     x = np.array(rows["__x"].tolist(), float).reshape(len(rows), len(FIGURES))
     return fit(x, rows["__y"].to_numpy(float))
 

@@ -31,6 +31,8 @@ META = "▁"
 MARKS = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 CHUNK = re.compile(rf"{META}*[^{META}{MARKS}]*[^\W\d_\xb2\xb3\xb9\xbc-\xbe](?=[{META}{MARKS}]|\Z)|{META}*[^{META}]+|{META}+")
 CROSSING = re.compile(rf"[^{META}]{META}|[^\W\d_\xb2\xb3\xb9\xbc-\xbe][{MARKS}]")
+#: Texts that common normalisations change: ligature, wide letters, blanks in a row and at the ends, tab, composed and split accents.
+PROBES = ("\ufb01n \uff21\uff22 a", "  two  blanks ", "tab\tand\nline", "e\u0301 \u00e9", "The Quick-brown fox's 12,5% [x]")
 #: Remembered chunks at most; others are encoded once a batch.
 CACHE = 300_000
 #: New chunks are matched in groups of about so many characters.
@@ -77,6 +79,10 @@ class Pieces:
         #: the text of every id; None where a byte piece or a sign without text needs the slow way
         self.plain = [self.text.get(i) for i in range(sp.get_piece_size())]
         self.seen: dict[str, bytes] = {}
+        # texts must be taken as they are, with one blank before: other normalisation or user-defined pieces show in these
+        for probe in PROBES:
+            if self.encode([probe])[0].tolist() != sp.encode(probe):
+                raise ValueError("this model normalises texts or cuts them in another way")
 
     def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, row of the piece) of every occurrence of a piece, by start then size."""

@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
-from packetlake.llm import jaccard, pii
+from packetlake.llm import jaccard, pii, quality
 from tests.llm.test_llm import contamination, jaccard_components
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,22 @@ def test_quality_stage_keeps_clean_documents(spark):
 def test_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert jaccard.one_of_each(docs).count() == 0 and C.masked(spark, docs, SF).count() == 0 and C.clean_of_benchmark(spark, docs, SF).count() == 0
+
+
+def test_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names, through every stage."""
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "word " * 30_000, "en", "s", 5), (5, "call +1 (555) 123-4567 now", "en", None, 9), (5, "call +1 (555) 123-4567 now", "en", None, 9), (None, "no id here", "en", "s", 1), (7, "x" * 30_000, None, "s", None)]
+    odd = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG").withColumn("block", F.lit("clash")).withColumn("score", F.lit("clash")).withColumn("ids", F.lit("clash"))
+    same = lambda df: sorted(map(str, df.collect()))
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 5, 7)] + [(5, None), (None, 1)], "doc_id LONG, quality INT")
+    good = quality.keep_good(odd, quality.learn(odd, labels))
+    assert good.columns == odd.columns and set(same(good)) <= set(same(odd))
+    assert C.near_duplicates(spark, odd, SF).count() == 6
+    assert same(C.clean_of_benchmark(spark, odd, SF)) == same(odd)
+    masked = C.masked(spark, odd, SF)
+    assert masked.columns == odd.columns and [r["text"] for r in masked.where("doc_id = 5").collect()] == ["call [phone] now"] * 2 and masked.where("doc_id IS NULL").first()["text"] == "no id here"
+    last = C.pieces(spark, odd, SF)
+    assert last.count() == 7 and last.where("n_pieces = 0").count() == 2 and last.where("NOT round_trip").count() == 0
+    none = odd.limit(0)
+    model = quality.learn(odd, labels)
+    assert [f.count() for f in (quality.keep_good(none, model), C.near_duplicates(spark, none, SF), C.clean_of_benchmark(spark, none, SF), C.masked(spark, none, SF), C.pieces(spark, none, SF))] == [0] * 5
