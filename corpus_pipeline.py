@@ -10,6 +10,13 @@ stage's docs. All but the last return the columns of documents:
 3. decontaminate: documents that hold ten words in a row of a benchmark item go.
 4. pii: personal data is replaced by its kind in brackets.
 5. pieces: the texts as SentencePiece ids (doc_id, n_bytes, n_pieces, ids_sha256, round_trip, ids).
+
+Odd rows: null and empty texts are scored as empty ones by the first stage,
+which rejects them; where they reach a later stage they link with nothing, hold
+no benchmark words and no personal data, and have no ids. Rows with a null id
+are no duplicates of others. Repeated rows are one document of near_duplicates.
+Columns of any name stay as they are through the first four stages; empty tables
+stay empty.
 """
 
 from __future__ import annotations
