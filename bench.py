@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 
 QUERIES = (
     "packet_projection", "port_scan", "udp_scan", "host_sweep", "dns_rate", "connection_failures", "syn_flood", "ack_scan_with_response", "frame_dedup", "connection_summary", "reverse_shell_score", "multi_stage", "flow_stats", "flow_sessions",
-    "rule_content_match", "rule_port_ranges", "service_identify", "alert_dedup", "incident_islands", "alert_search_page", "overview_stats", "fragment_reassembly",
+    "rule_content_match", "rule_port_ranges", "service_identify", "alert_dedup", "incident_islands", "alert_search_page", "overview_stats", "fragment_reassembly", "rule_table_match", "flow_lifetimes", "port_scan_first_seen", "all_packet_alerts", "all_connection_alerts", "decoded_frames",
 )
 PACKETS = 50_000
 
