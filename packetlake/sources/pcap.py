@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,41 +23,42 @@ MAX_SNAPLEN = 262_144
 BATCH = 4096
 
 
-def records(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """(microseconds, captured length, original length, bytes) of each whole record; a cut-off last record is dropped."""
+def records(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Microseconds, captured lengths, original lengths and bytes of whole records, up to BATCH at a time; a cut-off last record is dropped."""
     if len(data) < 24 or data[:4] not in MAGIC:
         raise ValueError("not a capture file")
     order, parts = MAGIC[data[:4]]
-    head = struct.Struct(order + "IIII")
-    at = 24
-    while at + 16 <= len(data):
-        sec, frac, captured, original = head.unpack_from(data, at)
-        at += 16
-        if captured > MAX_SNAPLEN or at + captured > len(data):
-            return
-        yield sec * 1_000_000 + frac * 1_000_000 // parts, captured, original, data[at : at + captured]
-        at += captured
+    length = struct.Struct(order + "I").unpack_from
+    at, stop = 24, len(data) - 16
+    while at <= stop:
+        places = []
+        while at <= stop and len(places) < BATCH:
+            captured = length(data, at + 8)[0]
+            if captured > MAX_SNAPLEN or at + 16 + captured > len(data):
+                stop = -1
+                break
+            places.append(at)
+            at += 16 + captured
+        if places:
+            heads = np.frombuffer(b"".join([data[i : i + 16] for i in places]), order + "u4").reshape(-1, 4).astype(np.int64)
+            sec, frac, captured, original = heads.T
+            yield sec * 1_000_000 + frac * 1_000_000 // parts, captured, original, [data[i + 16 : i + 16 + n] for i, n in zip(places, captured.tolist(), strict=True)]
 
 
 _ROWS = "file STRING, number BIGINT, ts_us BIGINT, captured_length INT, original_length INT, frame BINARY"
 _ARROW = pa.schema([("file", pa.string()), ("number", pa.int64()), ("ts_us", pa.int64()), ("captured_length", pa.int32()), ("original_length", pa.int32()), ("frame", pa.binary())])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
-
-
 def _split(batches):
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held: list[tuple] = []
-            for i, (us, n, m, frame) in enumerate(records(content)):
-                held.append((path, i, us, n, m, frame))
-                if len(held) == BATCH:
-                    yield _batch(held)
-                    held = []
-            if held:
-                yield _batch(held)
+            done = 0
+            for us, captured, original, frames in records(content):
+                n = len(frames)
+                # lengths over 31 bits wrap, as INT does in Spark
+                cols = [[path] * n, np.arange(done, done + n), us, captured.astype(np.int32), original.astype(np.int32), frames]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
+                done += n
 
 
 def _frames(files: DataFrame) -> DataFrame:

@@ -51,6 +51,36 @@ def test_decode_fragments_ipv6_and_errors():
     assert (p["protocol"], p["icmp_inner_protocol"], p["icmp_inner_dst_port"]) == ("ICMP", "UDP", 53)
 
 
+def test_batches_decode_like_single_frames():
+    """Whole, cut, damaged, tagged, fragmented, padded, empty and null frames, in batches and one by one."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(7)
+    options = ipv4(b"", 6)[1:]
+    whole = [
+        ether(ipv4(tcp(b"abc"), 6)), ether(ipv4(tcp(), 6)), ether(ipv4(udp(b"x" * 30), 17)), ether(ipv4(udp(b""), 17)), ether(ipv4(udp(b"xyz"), 17)) + b"\0" * 9, ether(ipv4(udp(b"y" * 9)[:12], 17, frag=0x2000)), ether(ipv4(b"12345678", 17, frag=1)),
+        ether(ipv4(udp(b"x"), 17), tags=((0x8100, 5),)), ether(ipv4(b"\x03\x03" + b"\0" * 6, 1)), ether(b"\0" * 40, 0x86DD), ether(b"\0" * 28, 0x0806), ether(b"\x46" + options[:1] + struct.pack(">H", 44) + options[3:] + b"\1" * 4 + tcp(), 0x0800),
+    ]
+    frames = [*whole, b"", None]
+    for _ in range(4000):
+        f = bytearray(r.choice(whole))
+        for _ in range(r.randrange(3)):
+            f[r.choice((12, 13, 14, 16, 17, 20, 21, 23, r.randrange(len(f))))] = r.choice((0, 1, 0x45, 0x50, 6, 17, 40, 255, r.randrange(256)))
+        frames.append(bytes(f[: r.choice((len(f), len(f), r.randrange(len(f) + 1)))]))
+    captured = [None if f is None or r.random() < 0.2 else len(f) + (r.random() < 0.03) - 2 * len(f) * (r.random() < 0.02) for f in frames]
+    original = [None if r.random() < 0.2 else (c or 0) + r.choice((0, 0, 5, -1)) for c in captured]
+    n = len(frames)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.timestamp("us", "UTC")), pa.array([0] * n, pa.int64()), pa.array(captured, pa.int32()), pa.array(original, pa.int32()), pa.array(frames, pa.binary())], [*decode._KEEP, "frame"])
+    want = decode._one_by_one(batch).to_pylist()
+    for cut in (batch, batch.slice(3, n - 5), batch.slice(n - 1), batch.slice(0, 0)):
+        got = sorted((p for b in decode._decode([cut]) for p in b.to_pylist()), key=lambda p: p["packet_id"])
+        ids = cut.column(0).to_pylist()
+        assert got == [want[i] for i in ids]
+    assert 500 < decode._plain(batch)[0].sum() < n - 500
+
+
 def capture(frames, order="<"):
     return struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack(order + "IIII", 100 + int(t), 5, len(f), len(f)) + f for t, f in frames)
 
@@ -59,6 +89,7 @@ def capture(frames, order="<"):
 def test_capture_files(spark, tmp_path, order):
     frames = [(0, ether(ipv4(udp(b"hi"), 17))), (2, ether(ipv4(tcp(), 6))), (1, ether(ipv4(tcp(), 6)))]
     (tmp_path / "a.pcap").write_bytes(capture(frames, order) + b"\1\2\3")
+    assert [f for part in pcap.records((tmp_path / "a.pcap").read_bytes()[:-5]) for f in part[3]] == [f for _, f in frames[:2]]
     df = pcap.read(spark, str(tmp_path))
     assert [r["ts_us"] for r in df.orderBy("packet_id").collect()] == [100_000_005, 102_000_005, 101_000_005]
     assert [r["ts_us"] for r in pcap.read(spark, str(tmp_path), monotonic=True).orderBy("packet_id").collect()] == [100_000_005, 102_000_005, 102_000_005]
