@@ -64,9 +64,11 @@ class Pieces:
         self.level = np.unique(scores, return_inverse=True)[1].astype(np.int64) + 1
         self.size = np.array([len(self.text[i]) for i in many])
         self.deep = int(self.size.max())
-        self.codes = np.full((len(many), self.deep), -2, np.int64)
+        # the pieces' characters as places in an alphabet; its last place stands for none
+        self.alphabet = np.unique(np.concatenate([[ord(c) for c in self.text[i]] for i in many]))
+        self.chars = np.full((len(many), self.deep), len(self.alphabet))
         for k, i in enumerate(many):
-            self.codes[k, : self.size[k]] = [ord(c) for c in self.text[i]]
+            self.chars[k, : self.size[k]] = np.searchsorted(self.alphabet, [ord(c) for c in self.text[i]])
         # pieces that a better-scored piece contains at its start or end merge one place at a time
         level = dict(zip((self.text[i] for i in many), self.level.tolist(), strict=True))
         careful = set()
@@ -85,40 +87,62 @@ class Pieces:
                 raise ValueError("this model normalises texts or cuts them in another way")
 
     def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, row of the piece) of every occurrence of a piece, by start then size."""
+        """(start, row of the piece) of every occurrence of a piece, by start then size.
+
+        Characters become their places among the text's own, 0 beyond its end, so that
+        several fit into one number: the doubling begins with as many, and the pieces
+        are searched for by as many characters at a time.
+        """
         n = len(code)
-        rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
-        h, order = 1, np.argsort(rank, kind="stable")
-        while h < self.deep:
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - h)] = rank[h:]
-            key = rank * (n + 2) + after
-            order = np.argsort(key, kind="stable")
+        kinds, sign = np.unique(code, return_inverse=True)
+        bits = (len(kinds) + 1).bit_length()
+        padded = np.r_[sign.reshape(-1) + 1, np.zeros(self.deep, np.int64)]
+
+        def joined(columns) -> np.ndarray:
+            out = 0
+            for c in columns:
+                out = out << bits | c
+            return out
+
+        h = min(63 // bits, self.deep)
+        key = joined(padded[j : j + n] for j in range(h))
+        order = np.argsort(key)
+        rank = np.empty(n, np.int64)
+        while True:
             key = key[order]
             rank[order] = np.cumsum(np.r_[1, key[1:] != key[:-1]])
-            h *= 2
-        lo, hi = np.zeros(len(self.many), np.int64), np.full(len(self.many), n, np.int64)
-        for d in range(self.deep):
-            live = np.flatnonzero((self.size > d) & (lo < hi))
-            if not len(live):
+            if h >= self.deep:
                 break
-            want, a, z = self.codes[live, d], lo[live], hi[live]
-            for right in (False, True):
-                x, y = a.copy(), z.copy()
-                while (open_ := x < y).any():
-                    m = (x + y) // 2
-                    at = order[np.minimum(m, n - 1)] + d
-                    c = np.where(at < n, code[np.minimum(at, n - 1)], -3)
-                    go = open_ & ((c <= want) if right else (c < want))
-                    x = np.where(go, m + 1, x)
-                    y = np.where(open_ & ~go, m, y)
-                (hi if right else lo)[live] = x
-        count = np.where(lo < hi, hi - lo, 0)
+            key = rank * (n + 2)
+            key[: max(0, n - h)] += rank[h:]
+            order = np.argsort(key)
+            h *= 2
+        # signs of the pieces' characters: 0 for those that the text doesn't have
+        at = np.minimum(np.searchsorted(kinds, self.alphabet), len(kinds) - 1)
+        signs = np.r_[np.where(kinds[at] == self.alphabet, at + 1, 0), 0][self.chars]
+        beyond = np.arange(self.deep) >= self.size[:, None]
+        live = np.flatnonzero(((signs > 0) | beyond).all(1))
+        lo, hi = np.zeros(len(self.many), np.int64), np.zeros(len(self.many), np.int64)
+        # stretches of the suffix array that agree so far, and the one of each piece
+        stretch, own, d = np.zeros(n, np.int64), np.zeros(len(live), np.int64), 0
+        while len(live):
+            m = min(self.deep - d, (63 - (n.bit_length() if d else 0)) // bits)
+            key = (stretch << bits * m) | joined(padded[d + j : d + j + n] for j in range(m))[order]
+            least, filler = signs[live, d : d + m], beyond[live, d : d + m] * ((1 << bits) - 1)
+            own = own << bits * m
+            lo[live] = np.searchsorted(key, own | joined(least.T), "left")
+            hi[live] = np.searchsorted(key, own | joined((least | filler).T), "right")
+            d += m
+            live = live[(self.size[live] > d) & (lo[live] < hi[live])]
+            stretch = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+            own = stretch[lo[live]]
+        count = hi - lo
         piece = np.repeat(np.arange(len(count)), count)
         first = np.repeat(lo - (np.cumsum(count) - count), count)
         start = order[first + np.arange(len(piece))]
-        by = np.lexsort((self.size[piece], start))
-        return start[by], piece[by]
+        for_size, for_piece = self.deep.bit_length(), len(count).bit_length()
+        both = np.sort((start << for_size | self.size[piece]) << for_piece | piece)
+        return both >> for_size + for_piece, both & ((1 << for_piece) - 1)
 
     def encode_chunks(self, chunks: list[str], into: dict[str, bytes]) -> None:
         """The ids of each chunk as little-endian 32-bit integers."""
@@ -201,7 +225,7 @@ class Pieces:
         cut = [CHUNK.findall(META + t.replace(" ", META)) if t else [] for t in texts]
         seen = self.seen
         group, size, fresh = [], 0, {}
-        for c in {c for cs in cut for c in cs if c not in seen}:
+        for c in set().union(*cut).difference(seen):
             group.append(c)
             size += len(c)
             if size > GROUP_CHARS:
@@ -209,11 +233,13 @@ class Pieces:
                 group, size = [], 0
         if group:
             self.encode_chunks(group, fresh)
-        if len(seen) < CACHE:
-            seen.update(fresh)
-            fresh = {}
-        get = (lambda c: seen.get(c) or fresh[c]) if fresh else seen.__getitem__
-        return [np.frombuffer(b"".join(map(get, cs)), "<i4") for cs in cut]
+        full = len(seen) >= CACHE
+        seen.update(fresh)
+        ids = [np.frombuffer(b"".join(map(seen.__getitem__, cs)), "<i4") for cs in cut]
+        if full:  # these go again
+            for c in fresh:
+                del seen[c]
+        return ids
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Pieces joined, byte pieces read as UTF-8, the meta symbol a blank, less the blank put at the start."""
