@@ -70,6 +70,43 @@ def ack_scan(probes: DataFrame, answers: DataFrame, window_us: int, threshold: i
     return W.rising_edge(n, keys, threshold, "reached").drop("port", "probed", "reached")
 
 
+#: How a target can answer a probe.
+ANSWERS = ("syn_ack", "rst", "icmp_unreachable")
+
+
+def probe_answers(packets: DataFrame) -> DataFrame:
+    """Answers to probes in the prober's direction, with their kind: SYN+ACK, RST, and the probes that ICMP errors quote."""
+    cols, flags = ["packet_id", "ts_us", "src_ip", "dst_ip", "dst_port", "protocol"], F.col("tcp_flags")
+    reset = net.has(flags, net.RST)
+    tcp = packets.where((F.col("protocol") == "TCP") & (reset | net.has(flags, net.SYN | net.ACK)))
+    tcp = tcp.select("packet_id", "ts_us", F.col("dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"), F.col("src_port").alias("dst_port"), "protocol", F.when(reset, "rst").otherwise("syn_ack").alias("kind"))
+    if "icmp_inner_protocol" not in packets.columns:
+        return tcp
+    quoted = packets.where("(protocol = 'ICMP' AND icmp_type = 3 OR protocol = 'ICMPV6' AND icmp_type = 1) AND icmp_inner_protocol IN ('TCP', 'UDP')")
+    return tcp.unionByName(quoted.select("packet_id", "ts_us", *(F.col(f"icmp_inner_{c}").alias(c) for c in cols[2:]), F.lit("icmp_unreachable").alias("kind")))
+
+
+def scan_responses(probes: DataFrame, answers: DataFrame, window_us: int, keys: tuple[str, ...] = ("src_ip", "dst_ip")) -> DataFrame:
+    """For each probe the distinct ports of its key in the window (``n``), and how many of them answered in each way.
+
+    An answer counts if its port was probed in the window before it. A port is
+    open from each sighting until the next one of its kind or W later, so one
+    running sum for each kind gives all counts: two points a row, no join.
+    """
+    cols = ["packet_id", "ts_us", *keys, "dst_port"]
+    both = probes.select(*cols, F.lit("n").alias("kind")).unionByName(answers.where(F.col("kind").isin(*ANSWERS)).select(*cols, "kind"))
+    probe = F.col("kind") == "n"
+    probed = F.max(F.when(probe, F.col("ts_us"))).over(Window.partitionBy(*keys, "dst_port").orderBy("ts_us").rangeBetween(-window_us, 0))
+    both = both.withColumn("__probed", probed).where(probe | F.col("__probed").isNotNull())
+    following = F.lead("ts_us").over(Window.partitionBy(*keys, "kind", "dst_port").orderBy("ts_us"))
+    both = both.withColumn("__end", F.least(F.col("ts_us") + window_us + 1, following)).where(F.col("dst_port").isNotNull())
+    point = lambda at, step: F.struct(F.col(at).alias("at"), F.lit(step).alias("step"))
+    both = both.withColumn("__p", F.explode(F.array(point("ts_us", 1), point("__end", -1))))
+    so_far = Window.partitionBy(*keys).orderBy("__p.at").rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({k: F.sum(F.when(F.col("kind") == k, F.col("__p.step")).otherwise(0)).over(so_far) for k in ("n", *ANSWERS)})
+    return both.where(probe & (F.col("__p.step") == 1)).drop("kind", "__probed", "__end", "__p")
+
+
 def is_discovery(packets: DataFrame):
     """Probes that look for hosts: echo requests, SYN, name service queries."""
     protocol = F.col("protocol")

@@ -107,6 +107,20 @@ def ack_scan_with_response(spark, sf_dir):
     return D.ack_scan(p.where("tcp_flags = 16"), p.where("tcp_flags = 4"), 20 * DAY, 3).select("packet_id", "ts_us", "src_ip", "n", "answers")
 
 
+_ANSWER = "CASE WHEN protocol = 'ICMP' THEN 'icmp_unreachable' WHEN protocol = 'TCP' AND tcp_flags = 4 THEN 'rst' WHEN protocol = 'TCP' AND tcp_flags = 24 THEN 'syn_ack' END"
+
+
+@query(f"""
+WITH {PACKETS}, seen AS (SELECT packet_id, ts_us, src_ip, dst_port % 8 AS dst_port, CASE WHEN protocol = 'TCP' AND tcp_flags = 16 THEN 'probe' ELSE {_ANSWER} END AS kind FROM packets),
+both_ AS (SELECT * FROM seen s WHERE kind = 'probe' OR (kind IS NOT NULL AND EXISTS (SELECT 1 FROM seen p WHERE p.kind = 'probe' AND p.src_ip = s.src_ip AND p.dst_port = s.dst_port AND p.ts_us BETWEEN s.ts_us - {20 * DAY} AND s.ts_us))),
+counted AS (SELECT *, count(DISTINCT CASE WHEN kind = 'probe' THEN dst_port END) {_range('src_ip', 20)} AS n, count(DISTINCT CASE WHEN kind = 'syn_ack' THEN dst_port END) {_range('src_ip', 20)} AS syn_ack,
+  count(DISTINCT CASE WHEN kind = 'rst' THEN dst_port END) {_range('src_ip', 20)} AS rst, count(DISTINCT CASE WHEN kind = 'icmp_unreachable' THEN dst_port END) {_range('src_ip', 20)} AS icmp_unreachable FROM both_)
+SELECT packet_id, ts_us, src_ip, dst_port, n, syn_ack, rst, icmp_unreachable FROM counted WHERE kind = 'probe'""")
+def scan_responses(spark, sf_dir):
+    p = packets(spark, sf_dir).withColumn("dst_port", F.col("dst_port") % 8).withColumn("kind", F.expr(_ANSWER))
+    return D.scan_responses(p.where("protocol = 'TCP' AND tcp_flags = 16"), p.where("kind IS NOT NULL"), 20 * DAY, ("src_ip",))
+
+
 _SWEEP = "SELECT *, CASE WHEN protocol = 'ICMP' THEN 'echo' ELSE CAST(dst_port AS VARCHAR) END AS signature FROM packets WHERE protocol = 'ICMP' OR (protocol = 'TCP' AND tcp_flags & 22 = 2)"
 
 

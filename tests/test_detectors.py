@@ -43,6 +43,18 @@ def test_port_scan(spark, flags, ports, want, exact):
     assert [r["n"] for r in D.port_scan(p, W30, 3, exact=exact).collect()] == want
 
 
+def test_scan_responses(spark):
+    """Each kind of answer, answers to nothing, repeated ones, and those that leave the window."""
+    back = lambda t, port, flags: (t, "10.0.0.2", "10.0.0.1", port, 40000, "TCP", flags, None)
+    p = frame(spark, [tcp(0, 1), back(1, 1, S_ | A), back(1, 1, S_ | A), back(2, 9, R), tcp(3, 2), back(4, 2, R | A), tcp(5, 3), tcp(6, 4), tcp(33, 5)])
+    quoted = spark.createDataFrame([(100, round(5.5 * SECOND), "10.0.0.9", "10.0.0.1", None, None, "ICMP", None, 3, 60, "10.0.0.1", "10.0.0.2", 40000, 3, "TCP")], COLUMNS + ", icmp_inner_src_ip STRING, icmp_inner_dst_ip STRING, icmp_inner_src_port INT, icmp_inner_dst_port INT, icmp_inner_protocol STRING")
+    p = p.unionByName(quoted, allowMissingColumns=True)
+    probes = p.where("tcp_flags = 2")
+    got = D.scan_responses(probes, D.probe_answers(p), W30).orderBy("ts_us").select("dst_port", "n", *D.ANSWERS).collect()
+    assert [tuple(r) for r in got] == [(1, 1, 0, 0, 0), (2, 2, 1, 0, 0), (3, 3, 1, 1, 0), (4, 4, 1, 1, 1), (5, 4, 0, 1, 1)]
+    assert D.scan_responses(probes.limit(0), D.probe_answers(p), W30).count() == 0
+
+
 def test_port_scan_rearms(spark):
     p = frame(spark, [tcp(0, 1), tcp(1, 2), tcp(10, 1), tcp(11, 2)])
     assert D.port_scan(p, 5 * SECOND, 2).count() == 2
