@@ -11,6 +11,11 @@ stage's docs. All but the last return the columns of documents:
 4. pii: personal data is replaced by its kind in brackets.
 5. pieces: the texts as SentencePiece ids (doc_id, n_bytes, n_pieces, ids_sha256, round_trip, ids).
 
+All stages run in the same executors and Python workers, and none of them gets
+back what an earlier one left with the allocators. So a stage sets the session's
+limit for the batches between the JVM and the workers to BATCH_BYTES; Spark's own
+limit is 10,000 rows of any length, which both sides hold several times.
+
 Odd rows: null and empty texts are scored as empty ones by the first stage,
 which rejects them; where they reach a later stage they link with nothing, hold
 no benchmark words and no personal data, and have no ids. Rows with a null id
@@ -21,29 +26,48 @@ stay empty.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from packetlake.llm import decontaminate, jaccard, pii, quality, sentence_pieces
 from packetlake.llm.durable import saved
 from packetlake.llm.queries import table, tokenizer
 
+#: Bytes of a batch that goes to a Python worker: two slices of ``llm.batches``.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # stays: the stage runs when it is written
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@in_small_batches
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.one_of_each(docs)
 
 
+@in_small_batches
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@in_small_batches
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.mask(docs)
 
 
+@in_small_batches
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_digest(docs, tokenizer("piece_bpe_32k.model"), with_ids=True)
 

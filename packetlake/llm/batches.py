@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .blocks import tidy
+
 #: Texts are handed to the per-batch functions in slices of about so many characters.
 SLICE_CHARS = 2_000_000
 
@@ -89,6 +91,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
     types = {f.name: arrow.field(f.name).type for f in fields}
 
     def run(batches):
+        tidy()
         fn = make()
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
@@ -97,5 +100,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
                 made = [pa.array(cols[f.name], types[f.name]) for f in fields]
                 kept = [b.column(i).slice(lo, hi - lo).cast(arrow.field(i).type) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *made], schema=arrow)
+        b = texts = cols = made = kept = None
+        tidy()
 
     return src.mapInArrow(run, schema)

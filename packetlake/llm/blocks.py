@@ -61,9 +61,24 @@ def by_part(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return order, list(zip(p[starts].tolist(), starts.tolist(), np.r_[starts[1:], len(p)].tolist(), strict=True))
 
 
-def _deal(batches):
+#: Batches are dealt together up to so many bytes, whatever Spark's limit for one, so that a block gets few large pieces.
+DEAL_BYTES = 16 << 20
+
+
+def _gathered(batches):
+    held, size = [], 0
     for b in batches:
-        table = pa.Table.from_batches([b])
+        held.append(b)
+        size += b.nbytes
+        if size >= DEAL_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _deal(batches):
+    for table in _gathered(batches):
         order, runs = by_part(table.column("block").to_numpy())
         table = table.drop_columns(["block"]).take(order)
         blocks, blobs = [], []

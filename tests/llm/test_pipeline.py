@@ -58,3 +58,22 @@ def test_odd_rows(spark):
     none = odd.limit(0)
     model = quality.learn(odd, labels)
     assert [f.count() for f in (quality.keep_good(none, model), C.near_duplicates(spark, none, SF), C.clean_of_benchmark(spark, none, SF), C.masked(spark, none, SF), C.pieces(spark, none, SF))] == [0] * 5
+
+
+def test_stages_bound_the_batches_of_workers(spark):
+    """Rows of 40 kB go to Python in batches of a few megabytes, not of 10,000 rows; blocks are still dealt from large ones."""
+    import pyarrow as pa
+
+    from packetlake.llm import blocks
+
+    long = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 8000).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"]) for b in batches)
+    for name, stage in C.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+        assert max(r["n"] for r in long.mapInArrow(sizes, "n long").collect()) < 2 * C.BATCH_BYTES, name
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    small = [pa.RecordBatch.from_pydict({"block": [i % 2, 1], "id": [i, -i], "text": ["a", "b"]}) for i in range(50)]
+    dealt = list(blocks._deal(iter(small)))
+    assert [b.num_rows for b in dealt] == [2]
+    assert sorted(x for r in dealt[0].column("rows").to_pylist() for x in pa.ipc.open_stream(r).read_all().column("id").to_pylist()) == sorted([*range(50), *(-i for i in range(50))])
